@@ -1,3 +1,9 @@
+def op4_html(spark, sf_dir):
+    from rayframe.llm.html import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_bpe(spark, sf_dir):
     import public_tokenizers as P
 
@@ -6,5 +12,5 @@ def op9_bpe(spark, sf_dir):
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 
 
-QUERIES = {"op9_bpe": op9_bpe}
+QUERIES = {"op4_html": op4_html, "op9_bpe": op9_bpe}
 SQL = {}
