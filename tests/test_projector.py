@@ -1,0 +1,12 @@
+import duckdb
+from pyspark.sql import SparkSession
+
+from rayframe.operators import QUERIES, SQL
+
+
+def test_same_rows_as_duckdb():
+    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+    for name, f in QUERIES.items():
+        df, rel = f(spark, ""), duckdb.sql(SQL[name])
+        assert df.columns == rel.columns
+        assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall()), name
