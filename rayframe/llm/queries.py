@@ -1,7 +1,14 @@
+"""One thin query per operator, over whole tables."""
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def op4_html(spark, sf_dir):
     from rayframe.llm.html import extract
 
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract(_table(spark, sf_dir, "pages"))
 
 
 def op9_bpe(spark, sf_dir):
@@ -9,8 +16,14 @@ def op9_bpe(spark, sf_dir):
 
     from rayframe.llm.bpe import digests
 
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    return digests(_table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+
+
+def op10_minhash(spark, sf_dir):
+    from rayframe.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_html": op4_html, "op9_bpe": op9_bpe}
+QUERIES = {"op4_html": op4_html, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 SQL = {}
