@@ -16,6 +16,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from rayframe.llm.common import ready
+
 SKETCH, KEYS, COOL, WORDS = 64, 16, 40, 5
 SLACK = 6 * (0.75 * 0.25 / SKETCH) ** 0.5
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -112,12 +114,7 @@ def components(links):
 
 def near_duplicates(docs):
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    import tempfile
-
-    spark = docs.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    ready(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     all_rows = sketches(docs).checkpoint()
     least = all_rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class"))

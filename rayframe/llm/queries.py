@@ -25,5 +25,18 @@ def op10_minhash(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_html": op4_html, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
+def op2_langid(spark, sf_dir):
+    from rayframe.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark, sf_dir):
+    from rayframe.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op2_langid": op2_langid, "op5_quality": op5_quality, "op4_html": op4_html, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 SQL = {}

@@ -1,7 +1,5 @@
 import re
 
-import pytest
-from pyspark.sql import SparkSession
 
 from rayframe.llm.minhash import near_duplicates
 
@@ -27,10 +25,6 @@ def brute(rows):
     return sorted((d, len(sets[d]), root(d), root(d) == d) for d in ids)
 
 
-@pytest.fixture(scope="module")
-def spark():
-    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").getOrCreate()
-
 
 def test_same_as_brute_force_on_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
