@@ -38,5 +38,12 @@ def op5_quality(spark, sf_dir):
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op2_langid": op2_langid, "op5_quality": op5_quality, "op4_html": op4_html, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
+def op7_toxicity(spark, sf_dir):
+    from rayframe.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op7_toxicity": op7_toxicity, "op2_langid": op2_langid, "op5_quality": op5_quality, "op4_html": op4_html, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 SQL = {}

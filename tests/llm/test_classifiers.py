@@ -1,4 +1,4 @@
-from rayframe.llm import langid, quality
+from rayframe.llm import langid, quality, toxicity
 
 
 def test_langid_held_out(tables):
@@ -26,3 +26,16 @@ def test_quality_edges(odd, tables):
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     none = quality.train(odd, tables("labels").where("false"))
     assert {r.score for r in quality.score(odd, none).collect()} == {0.5}
+
+
+def test_toxicity_held_out(tables):
+    got = toxicity.score(tables("documents"), toxicity.train(tables("documents"), tables("labels"))).join(tables("labels"), "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.toxic for r in got) >= 0.85 * len(got) > 0
+    assert sum(r.predicted for r in got if not r.toxic) <= 0.05 * len(got)
+
+
+def test_toxicity_edges(odd, tables):
+    model = toxicity.train(tables("documents"), tables("labels"))
+    got = toxicity.score(odd, model).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    assert {r.score for r in toxicity.score(odd, toxicity.train(odd, tables("labels").where("false"))).collect()} == {0.0}
