@@ -45,5 +45,17 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op7_toxicity": op7_toxicity, "op2_langid": op2_langid, "op5_quality": op5_quality, "op4_html": op4_html, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
+def op1_decontam(spark, sf_dir):
+    from rayframe.llm.decontam import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_fingerprint(spark, sf_dir):
+    from rayframe.llm.fingerprint import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_decontam": op1_decontam, "op6_fingerprint": op6_fingerprint, "op7_toxicity": op7_toxicity, "op2_langid": op2_langid, "op5_quality": op5_quality, "op4_html": op4_html, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 SQL = {}

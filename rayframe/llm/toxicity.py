@@ -1,7 +1,7 @@
 """Toxicity by compression distance: one zstandard dictionary per class, window lengths
 and a calibrated threshold.
 
-A window is one word between spaces, as four bytes a code point: at that width a match of one
+A window is one word between marks, as four bytes a code point: at that width a match of one
 short word outweighs the frame's fixed bytes. Both dictionaries end with the same ordinary
 windows; the toxic one also holds windows more frequent among toxic documents. Gains
 under a cut chosen on the sample count as none. A document's figures are its largest
@@ -15,6 +15,10 @@ from rayframe.llm.common import held_out, labelled, sample, small_batches
 SAMPLE, WORDS_EACH, CACHE = 4000, 400, 300_000
 
 
+def window(word):
+    return f"<<{word}>>".encode("utf-32-le", "replace")
+
+
 def windows(text):
     return text.lower().split()
 
@@ -46,16 +50,16 @@ class Model:
         p = n[1] / (n[0] + n[1])
         # Bits against chance, kept above what the best of the whole vocabulary would reach.
         proof = {w: k * math.log(k / ((k + df[0][w]) * p)) + (df[0][w] and df[0][w] * math.log(df[0][w] / ((k + df[0][w]) * (1 - p)))) for w, k in df[1].items() if len(w) > 3 and k > p * (k + df[0][w])}
-        least_proof = math.log(1 + len(df[0].keys() | df[1].keys()))
+        least_proof = math.log(1 + len(df[0].keys() | df[1].keys())) + 3
         toxic = sorted((w for w in proof if proof[w] > least_proof), key=lambda w: (-proof[w], w))[:WORDS_EACH]
         ordinary = [w for w, _ in sorted(df[0].items(), key=lambda x: (-x[1], x[0])) if w not in toxic][:WORDS_EACH]
-        base = " " + "  ".join(ordinary) + " "
-        self.dicts = (base.encode("utf-32-le", "replace"), (base + " " + "  ".join(toxic) + " ").encode("utf-32-le", "replace"))
+        base = b"".join(map(window, ordinary))
+        self.dicts = (base, base + b"".join(map(window, toxic)))
         self.sure = toxic or [""]
         self._open()
         top = np.array([max(map(self.gain, windows(t)), default=0) for t in texts])
         y = np.array(labels)
-        self.cut = max(np.arange(0.3, 1.01, 0.05), key=lambda c: (2 * ((top >= c) & (y == 1)).sum() / max(1, (top >= c).sum() + y.sum()), c))
+        self.cut = max(np.arange(0.3, 1.01, 0.02), key=lambda c: (((top >= c) & (y == 1)).sum() - 2 * ((top >= c) & (y == 0)).sum(), c))
         x, y = np.array([self.figures(t) for t in texts]), np.array(labels)
         self.mid, self.scale = x.mean(0), x.std(0) + 1e-9
         x, w = np.c_[(x - self.mid) / self.scale, np.ones(len(x))], np.zeros(x.shape[1] + 1)
@@ -70,7 +74,7 @@ class Model:
 
         params = z.ZstdCompressionParameters.from_level(19, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=17)
         self.coders = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params) for d in self.dicts]
-        self.gains, self.floor = {}, min(len(self.coders[1].compress(f" {w} ".encode("utf-32-le"))) for w in self.sure)
+        self.gains, self.floor = {}, max(len(self.coders[1].compress(window(w))) for w in self.sure)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("coders", "gains", "floor")}
@@ -81,7 +85,7 @@ class Model:
         if got is None:
             if len(self.gains) > CACHE:
                 self.gains.clear()
-            b = f" {word.strip('.,;:!?')} ".encode("utf-32-le", "replace")
+            b = window(word.strip(".,;:!?"))
             a, c = (len(x.compress(b)) for x in self.coders)
             got = self.gains[word] = min(1, max(0, a - c) / max(1, a - self.floor))
         return got
