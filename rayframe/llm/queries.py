@@ -57,5 +57,11 @@ def op6_fingerprint(spark, sf_dir):
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontam": op1_decontam, "op6_fingerprint": op6_fingerprint, "op7_toxicity": op7_toxicity, "op2_langid": op2_langid, "op5_quality": op5_quality, "op4_html": op4_html, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
+def op3_suffix(spark, sf_dir):
+    from rayframe.llm.suffix import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_suffix": op3_suffix, "op1_decontam": op1_decontam, "op6_fingerprint": op6_fingerprint, "op7_toxicity": op7_toxicity, "op2_langid": op2_langid, "op5_quality": op5_quality, "op4_html": op4_html, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 SQL = {}
