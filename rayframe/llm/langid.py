@@ -78,8 +78,8 @@ def fit(texts, langs):
     return names, w, idf, float(min(np.geomspace(0.05, 10, 60), key=loss))
 
 
-def predict(docs, model):
-    """Columns of docs with lang_pred and score."""
+def predict(docs, model, prefix=""):
+    """Columns of docs but text, with lang_pred and score; a prefix keeps these from clashing."""
     names, w, idf, temperature = model
 
     def run(batches):
@@ -97,11 +97,11 @@ def predict(docs, model):
                 p /= p.sum()
                 pred.append(names[int(p.argmax())]), score.append(float(p.max()))
             pdf = pdf.drop(columns="text")
-            pdf["lang_pred"], pdf["score"] = pred, score
+            pdf[prefix + "lang_pred"], pdf[prefix + "score"] = pred, score
             yield pdf
 
     small_batches(docs.sparkSession)
-    return docs.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", lang_pred string, score double")
+    return docs.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + f", `{prefix}lang_pred` string, `{prefix}score` double")
 
 
 def train(docs, bound=SAMPLE):

@@ -63,5 +63,12 @@ def op3_suffix(spark, sf_dir):
     return digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_suffix": op3_suffix, "op1_decontam": op1_decontam, "op6_fingerprint": op6_fingerprint, "op7_toxicity": op7_toxicity, "op2_langid": op2_langid, "op5_quality": op5_quality, "op4_html": op4_html, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
+def op8_licences(spark, sf_dir):
+    from rayframe.llm import licences
+
+    docs = _table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
+QUERIES = {"op8_licences": op8_licences, "op3_suffix": op3_suffix, "op1_decontam": op1_decontam, "op6_fingerprint": op6_fingerprint, "op7_toxicity": op7_toxicity, "op2_langid": op2_langid, "op5_quality": op5_quality, "op4_html": op4_html, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 SQL = {}
