@@ -4,11 +4,11 @@ A document's set: 64-bit hashes of its distinct five-word shingles (A-Z lower-ca
 words `[^\\x20\\x09-\\x0D]+`); fewer words give one shingle; null, empty or blank texts
 give the empty set and link with nothing. Equal sets form one class before any pair is
 made. KEYS least values of each class make inverted lists: a pair with a similarity of
-0.75 misses all of them with a chance of 0.25 ** KEYS (2e-10). Lists of up to COOL
-classes give all their pairs. In a longer list each class is first compared with the
-list's least member; classes that stay in different components are then compared
-pair by pair only if most of their sketch lies in long lists, since others share a
-value of a short list with every partner. The union sketch drops pairs more than six
+0.75 misses all of them with a chance of 0.25 ** KEYS (2e-10). Each class is first
+compared with the least member of its lists, and links make components. Then classes
+of one list that are still in different components are compared pair by pair; in lists
+of more than COOL classes only those with most of their sketch in such lists, since
+others share a value of a shorter list with every partner. The union sketch drops pairs more than six
 deviations under the threshold; full sets confirm the rest.
 Rows with one doc_id count as one document each but share the component's id.
 """
@@ -122,15 +122,12 @@ def near_duplicates(docs):
     held = classes.select("doc_id", "n_shingles", F.explode(F.slice("sketch", 1, KEYS)).alias("v"))
     lists = held.groupBy("v").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1").checkpoint()
     held = held.join(lists, "v").checkpoint()
-    cool, hot = held.where(F.col("n") <= COOL), held.where(F.col("n") > COOL)
-    right = cool.select("v", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"))
-    pairs = cool.select("v", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")).join(right, "v")
-    pairs = pairs.where("a < b AND 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").groupBy("a", "b").agg(F.count("*").alias("overlap")).select("a", "b")
-    stars = hot.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _confirm(_close_enough(pairs.union(stars).distinct(), classes), docs).checkpoint()
+    stars = held.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = _confirm(_close_enough(stars, classes), docs).checkpoint()
     label = components(links)
-    few = hot.groupBy("doc_id", "n_shingles").agg(F.count("*").alias("h")).where(2 * F.col("h") >= F.least(F.lit(KEYS), "n_shingles")).select("doc_id")
-    rest = hot.join(few, "doc_id", "left_semi").join(label, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    hot = F.sum((F.col("n") > COOL).cast("int"))
+    few = held.groupBy("doc_id", "n_shingles").agg(hot.alias("h")).where(2 * F.col("h") >= F.least(F.lit(KEYS), "n_shingles")).select("doc_id", F.lit(True).alias("most"))
+    rest = held.join(few, "doc_id", "left").where((F.col("n") <= COOL) | F.col("most")).join(label, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     many = rest.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("v")
     rest = rest.join(many, "v", "left_semi").select("v", "doc_id", "n_shingles", "comp").checkpoint()
     if not rest.isEmpty():
