@@ -103,7 +103,7 @@ def _bytes(text):
 
 
 def repeats(docs):
-    """doc_id, th (hash of the text), runs: (first window, per window whether it repeats)."""
+    """doc_id, th (hash of the text), runs: (first window, windows, per window whether it repeats; one value if all do)."""
     spark = docs.sparkSession
     ready(spark)
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where("doc_id is not null AND length(text) > 0")
@@ -150,7 +150,14 @@ def repeats(docs):
         rest = None
 
         def done(pdf):
-            return pd.DataFrame({"id": [hash_of(s) for s in pdf.s], "least": least_holder(list(pdf.s), list(pdf.doc_id))})
+            # A key with one distinct run is an interval of one string already.
+            one = ~pdf.k.duplicated(keep=False).to_numpy()
+            least = [[d] for d in pdf.doc_id[one]]
+            many = pdf[~one]
+            if len(many):
+                least += [x[:1] if min(x) == max(x) else x for x in least_holder(list(many.s), list(many.doc_id))]
+            pdf = pd.concat([pdf[one], many])
+            return pd.DataFrame({"id": [hash_of(s) for s in pdf.s], "least": least})
 
         for pdf in batches:
             rest = pdf if rest is None else pd.concat([rest, pdf])
@@ -171,12 +178,13 @@ def repeats(docs):
     def ids(batches):
         for pdf in batches:
             pdf["id"] = [hash_of(s) for s in pdf.s]
-            yield pdf[["doc_id", "th", "at", "id"]]
+            pdf["n"] = pdf.s.str.len() - LENGTH + 1
+            yield pdf[["doc_id", "th", "at", "n", "id"]]
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     solved = distinct.repartition("k").sortWithinPartitions("k").mapInPandas(solve, "id binary, least array<long>")
-    hit = found.mapInPandas(ids, "doc_id long, th long, at long, id binary").join(solved, "id")
-    hit = hit.select("doc_id", "th", F.struct("at", F.transform("least", lambda m: m < F.col("doc_id")).alias("hit")).alias("run")).where(F.exists("run.hit", lambda x: x))
+    hit = found.mapInPandas(ids, "doc_id long, th long, at long, n int, id binary").join(solved, "id")
+    hit = hit.select("doc_id", "th", F.struct("at", "n", F.transform("least", lambda m: m < F.col("doc_id")).alias("hit")).alias("run")).where(F.exists("run.hit", lambda x: x))
     out = hit.groupBy("doc_id", "th").agg(F.collect_set("run").alias("runs")).checkpoint()
     ready(spark)
     return out
@@ -188,7 +196,8 @@ def _marked(text, runs):
     data = _bytes(text)
     step = np.zeros(len(data) + 1, "i8")
     for r in runs if runs is not None else ():
-        at = r["at"] + np.flatnonzero(r["hit"])
+        hit = np.asarray(r["hit"])
+        at = r["at"] + (np.arange(r["n"]) if len(hit) == 1 else np.flatnonzero(hit))
         np.add.at(step, at, 1)
         np.add.at(step, at + LENGTH, -1)
     return np.frombuffer(data, "u1"), np.cumsum(step)[:-1] > 0
