@@ -24,11 +24,16 @@ def held_out(modulus, rest):
 
 
 def sample(rows, bound, *cols):
-    """At most `bound` rows by the hash of doc_id, to fit a classifier on the driver."""
-    return rows.select("doc_id", *cols).orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(bound).toPandas()
+    """Rows of at most `bound` doc_ids by hash, to fit a classifier on the driver.
 
+    Ids are chosen without texts; only the chosen rows' texts are read out.
+    """
+    ids = rows.select("doc_id").orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(bound).distinct()
+    return rows.select("doc_id", *cols).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").toPandas()
 
-def labelled(docs, labels, column):
-    """Documents joined with their non-null label, one label per doc_id (the least)."""
+
+def sample_labelled(docs, labels, column, bound):
+    """text and y of at most `bound` labelled doc_ids; one label per doc_id (the least)."""
     known = labels.where(F.col(column).isNotNull()).groupBy("doc_id").agg(F.min(column).alias("y"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    ids = docs.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(bound)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").toPandas()

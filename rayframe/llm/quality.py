@@ -6,7 +6,7 @@ scaled by a fitted temperature. Fitted on at most SAMPLE labelled rows; with few
 two classes every score is the known class's share (0.5 without labels). Null counts
 as empty text.
 """
-from rayframe.llm.common import held_out, labelled, sample, small_batches
+from rayframe.llm.common import held_out, sample_labelled, small_batches
 
 SAMPLE, SHRINK, RIDGE = 4000, 0.3, 1e-3
 
@@ -73,7 +73,7 @@ class Discriminant:
 def train(docs, labels, bound=SAMPLE):
     import numpy as np
 
-    s = sample(labelled(docs.where(~held_out(3, 1)), labels, "quality"), bound, "text", "y")
+    s = sample_labelled(docs.where(~held_out(3, 1)), labels, "quality", bound)
     return Discriminant(np.array([statistics(t or "") for t in s.text]), list(s.y))
 
 

@@ -10,7 +10,7 @@ sample (at most SAMPLE rows; odd rows choose the dictionary, all rows calibrate)
 Null and empty texts have no window and score as such. Without both labels every score
 is the known share (0 without labels).
 """
-from rayframe.llm.common import held_out, labelled, sample, small_batches
+from rayframe.llm.common import held_out, sample_labelled, small_batches
 
 SAMPLE, WORDS_EACH, CACHE = 4000, 400, 300_000
 
@@ -72,7 +72,7 @@ class Model:
     def _open(self):
         import zstandard as z
 
-        params = z.ZstdCompressionParameters.from_level(19, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=17)
+        params = z.ZstdCompressionParameters.from_level(9, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=17)
         self.coders = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params) for d in self.dicts]
         self.gains, self.floor = {}, max(len(self.coders[1].compress(window(w))) for w in self.sure)
 
@@ -106,7 +106,7 @@ class Model:
 
 
 def train(docs, labels, bound=SAMPLE):
-    s = sample(labelled(docs.where(~held_out(4, 2)), labels, "toxic"), bound, "text", "y")
+    s = sample_labelled(docs.where(~held_out(4, 2)), labels, "toxic", bound)
     return Model([t or "" for t in s.text], list(s.y))
 
 
