@@ -1,26 +1,28 @@
 """Benchmark decontamination: pigeonhole edit matching.
 
-Texts and items are lower-cased with every run of white space as one space (items also
-trimmed). An item of m code points may differ by e = floor(m * RATE) edits. It is split
+Texts and items are lower-cased and trimmed, with every run of white space as one space.
+An item of m code points may differ by e = floor(m * RATE) edits. It is split
 into e + 1 pieces; a passage within e edits holds one of them unchanged, so an
-Aho-Corasick automaton over all pieces finds every candidate place, and Myers'
-bit-parallel distance over that window decides. Items go to executors in blocks of
+Aho-Corasick automaton over all pieces finds every candidate place. Before the whole
+window is judged, the hit climbs a binary tree over the pieces: if q pieces hold at most
+q - 1 edits, so does one half for its own count, so a true passage has a piece whose
+ancestors of q pieces all lie within q - 1 edits of the text there; other hits end early.
+The first step is split by pigeonholes again: a part of what stands beside the piece must
+be in the text near it unchanged.
+Myers' bit-parallel distance judges each step and the whole window. Items go to executors in blocks of
 BLOCK_CHARS at most, each a pass over all rows, so what is sent has a fixed bound.
 Null or empty texts and items match nothing; items of equal text all match. Items
 shorter than MIN_CHARS are too common to count as a leak and match nothing.
 """
-import re
-
 from pyspark.sql import functions as F
 
 from rayframe.llm.common import small_batches
 
 RATE, BLOCK_CHARS, MIN_CHARS = 0.1, 4_000_000, 40
-SPACE = re.compile(r"\s+")
 
 
 def norm(text):
-    return SPACE.sub(" ", (text or "").lower())
+    return " ".join((text or "").lower().split())
 
 
 def least_distance(pattern, text):
@@ -43,6 +45,25 @@ def least_distance(pattern, text):
     return best
 
 
+def ancestors(n, p):
+    """Spans (lo, hi) of pieces above leaf p of a binary tree over n leaves, smallest first, without the root."""
+    lo, hi, out = 0, n, []
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if p < mid else (mid, hi)
+        out.append((lo, hi))
+    return out[-2::-1]
+
+
+def beside(text, a, b, lo, hi, most):
+    """Parts of text[lo:a] + text[b:hi], at least one of which stays whole under `most` edits, if they can be told."""
+    sides = [(x, y) for x, y in ((lo, a), (b, hi)) if x < y]
+    if len(sides) != 1 or sides[0][1] - sides[0][0] <= most:
+        return [""]
+    x, n = sides[0][0], sides[0][1] - sides[0][0]
+    return [text[x + n * i // (most + 1) : x + n * (i + 1) // (most + 1)] for i in range(most + 1)]
+
+
 class Matcher:
     """items: (item_id, normalised text) pairs."""
 
@@ -54,8 +75,10 @@ class Matcher:
             m = len(text)
             e = int(m * RATE)
             cuts = [m * i // (e + 1) for i in range(e + 2)]
-            for a, b in zip(cuts, cuts[1:]):
-                pieces.setdefault(text[a:b], []).append((k, a))
+            for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                climb = [(cuts[lo], cuts[hi], hi - lo - 1) for lo, hi in ancestors(e + 1, p)]
+                parts = beside(text, a, b, *climb[0]) if climb else [""]
+                pieces.setdefault(text[a:b], []).append((k, a, climb, parts))
         self.automaton = ahocorasick.Automaton()
         for p, places in pieces.items():
             self.automaton.add_word(p, (len(p), places))
@@ -68,8 +91,21 @@ class Matcher:
         if not self.items or not text:
             return found
         for end, (size, places) in self.automaton.iter(text):
-            for k, a in places:
-                spans.setdefault(k, []).append(end + 1 - size - a)
+            for k, a, climb, parts in places:
+                s, item, e = end + 1 - size - a, self.items[k][1], len(self.items[k][1]) * RATE
+                if k in spans and abs(s - spans[k][-1]) <= e:
+                    spans[k].append(s)  # joins a place that will be judged anyhow
+                    continue
+                if climb:
+                    lo, hi, most = climb[0]
+                    near = text[max(0, s + lo - most) : s + hi + most]
+                    if not any(x in near for x in parts):
+                        continue
+                for lo, hi, most in climb:
+                    if least_distance(item[lo:hi], text[max(0, s + lo - most) : s + hi + most])[0] > most:
+                        break
+                else:
+                    spans.setdefault(k, []).append(s)
         for k, starts in spans.items():
             item_id, item = self.items[k]
             e = int(len(item) * RATE)
