@@ -3,13 +3,14 @@
 A document's set: 64-bit hashes of its distinct five-word shingles (A-Z lower-cased,
 words `[^\\x20\\x09-\\x0D]+`); fewer words give one shingle; null, empty or blank texts
 give the empty set and link with nothing. Equal sets form one class before any pair is
-made. KEYS least values of each class make inverted lists: a pair with a similarity of
-0.75 misses all of them with a chance of 0.25 ** KEYS (2e-10). Each class is first
-compared with the least member of its lists, and links make components. Then classes
-of one list that are still in different components are compared pair by pair; in lists
-of more than COOL classes only those with most of their sketch in such lists, since
-others share a value of a shorter list with every partner. The union sketch drops pairs more than six
-deviations under the threshold; full sets confirm the rest.
+made. KEYS least values of each class make inverted lists; each class is first compared
+with the least member of its lists, and links make components. Then come prefix lists:
+the union sketch of a pair that may reach the threshold holds at least `must_share`
+values of both, so with the retained values in order of rarity two such classes share
+one of their first `size - must_share + 1`. Common values stand last and make no list
+for classes that have enough others. Classes of one list that are still in different
+components are compared at the first value they share, by union sketch in the join itself; pairs more
+than six deviations under the threshold are dropped and full sets confirm the rest.
 Rows with one doc_id count as one document each but share the component's id.
 """
 import re
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rayframe.llm.common import ready
 
-SKETCH, KEYS, COOL, WORDS = 64, 16, 40, 5
+SKETCH, KEYS, WORDS = 64, 16, 5
 SLACK = 6 * (0.75 * 0.25 / SKETCH) ** 0.5
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -43,6 +44,11 @@ def shingles(text):
     return np.unique(out ^ (out >> np.uint64(31)))
 
 
+def must_share(n):
+    """SQL for the least number of retained values that a set of n shares with the sketch of any set it may link with."""
+    return f"CASE WHEN {n} >= {SKETCH} THEN {-(-int((0.75 - SLACK) * SKETCH * 1e6) // 1000000)} ELSE greatest(1, cast(ceil(0.75D * {n}) AS int) - greatest(0, cast(floor({n} / 0.75D) AS int) - {SKETCH})) END"
+
+
 def sketches(docs):
     """doc_id, n_shingles, digest of the set, sketch: its least values."""
 
@@ -71,6 +77,23 @@ def _close_enough(pairs, classes):
     return x.where((100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")) & (F.col("both") >= (0.75 - SLACK) * F.size("u"))).select("a", "b")
 
 
+def _rare_pairs(classes, label):
+    """Pairs (a, b) of different components that share a value of their rarest ones and whose union sketch does not rule out the threshold."""
+    own = classes.select("doc_id", F.explode("sketch").alias("v"))
+    common = own.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+    first = own.join(common, "v").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("p"))
+    x = classes.join(first, "doc_id").join(label, "doc_id", "left")
+    x = x.withColumn("p", F.expr(f"slice(transform(p, e -> e.v), 1, greatest(0, size(p) - ({must_share('n_shingles')}) + 1))"))
+    x = x.select("doc_id", F.coalesce("comp", "doc_id").alias("comp"), F.col("n_shingles").alias("n"), F.expr("transform(sketch, v -> v ^ (-9223372036854775807L - 1))").alias("s"), "p").checkpoint()
+    lists = x.select("comp", F.explode("p").alias("v")).groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
+    rows = x.select("*", F.posexplode("p").alias("i", "v")).join(lists, "v").select("v", "comp", "doc_id", "n", "s", F.expr("slice(p, 1, i)").alias("p")).checkpoint()
+    l, r = rows.alias("l"), rows.alias("r")
+    union = f"slice(array_sort(array_union(l.s, r.s)), 1, {SKETCH})"
+    test = f"""l.v = r.v AND l.doc_id < r.doc_id AND l.comp <> r.comp AND 100 * least(l.n, r.n) >= 75 * greatest(l.n, r.n) AND NOT arrays_overlap(l.p, r.p)
+     AND size(array_intersect({union}, array_intersect(l.s, r.s))) >= {0.75 - SLACK}D * least({SKETCH}, size(array_union(l.s, r.s)))"""
+    return l.join(r, F.expr(test)).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
+
+
 def _confirm(pairs, docs):
     """Pairs whose full sets reach the threshold. Each side's text joins on its id."""
 
@@ -120,21 +143,14 @@ def near_duplicates(docs):
     least = all_rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class"))
     classes = all_rows.join(least.select(F.col("class").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
     held = classes.select("doc_id", "n_shingles", F.explode(F.slice("sketch", 1, KEYS)).alias("v"))
-    lists = held.groupBy("v").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1").checkpoint()
-    held = held.join(lists, "v").checkpoint()
+    lists = held.groupBy("v").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
+    held = held.join(lists, "v")
     stars = held.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = _confirm(_close_enough(stars, classes), docs).checkpoint()
     label = components(links)
-    hot = F.sum((F.col("n") > COOL).cast("int"))
-    few = held.groupBy("doc_id", "n_shingles").agg(hot.alias("h")).where(2 * F.col("h") >= F.least(F.lit(KEYS), "n_shingles")).select("doc_id", F.lit(True).alias("most"))
-    rest = held.join(few, "doc_id", "left").where((F.col("n") <= COOL) | F.col("most")).join(label, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    many = rest.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("v")
-    rest = rest.join(many, "v", "left_semi").select("v", "doc_id", "n_shingles", "comp").checkpoint()
-    if not rest.isEmpty():
-        right = rest.select("v", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("comp").alias("c_b"))
-        more = rest.select("v", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), "comp").join(right, "v")
-        more = more.where("a < b AND comp <> c_b AND 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").select("a", "b").distinct()
-        label = components(links.union(_confirm(_close_enough(more, classes), docs)))
+    more = _rare_pairs(classes, label).checkpoint()
+    if not more.isEmpty():
+        label = components(links.union(_confirm(more, docs)))
     owner = least.join(label.select(F.col("doc_id").alias("class"), "comp"), "class", "left").select("digest", F.coalesce("comp", "class").alias("comp"))
     out = all_rows.select("doc_id", "n_shingles", "digest").join(owner, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
