@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rayframe.llm.common import ready
 
-SKETCH, KEYS, WORDS = 64, 16, 5
+SKETCH, KEYS, WORDS, BITS = 64, 16, 5, 23
 SLACK = 6 * (0.75 * 0.25 / SKETCH) ** 0.5
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -94,8 +94,29 @@ def _rare_pairs(classes, label):
     return l.join(r, F.expr(test)).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
 
 
+def _maybe_in(pairs, docs):
+    """docs whose id may be in pairs: a bitmap of 2 ** BITS hashed ids, of fixed size, keeps most other texts out of the joins."""
+    import numpy as np
+    import pandas as pd
+
+    slot = lambda c: F.xxhash64(c).bitwiseAND((1 << BITS) - 1)
+    ids = pairs.select(slot("a").alias("k")).union(pairs.select(slot("b").alias("k")))
+    words = ids.groupBy(F.shiftright("k", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(k & 31 as int)))").alias("b")).toPandas()
+    bitmap = np.zeros(1 << (BITS - 5), "u4")
+    bitmap[words.w.to_numpy("i8")] = words.b.to_numpy("i8").astype("u4")
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def known(k: pd.Series) -> pd.Series:
+        k = k.to_numpy("i8")
+        return pd.Series((sent.value[k >> 5] >> (k & 31).astype("u4")) & 1 == 1)
+
+    return docs.where(known(slot("doc_id")))
+
+
 def _confirm(pairs, docs):
     """Pairs whose full sets reach the threshold. Each side's text joins on its id."""
+    docs = _maybe_in(pairs, docs)
 
     def run(batches):
         import numpy as np
@@ -141,12 +162,12 @@ def near_duplicates(docs):
     docs = docs.select("doc_id", "text")
     all_rows = sketches(docs).checkpoint()
     least = all_rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class"))
-    classes = all_rows.join(least.select(F.col("class").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
+    classes = all_rows.join(least.select(F.col("class").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]).checkpoint()
     held = classes.select("doc_id", "n_shingles", F.explode(F.slice("sketch", 1, KEYS)).alias("v"))
     lists = held.groupBy("v").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
     held = held.join(lists, "v")
     stars = held.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _confirm(_close_enough(stars, classes), docs).checkpoint()
+    links = _confirm(_close_enough(stars, classes).checkpoint(), docs).checkpoint()
     label = components(links)
     more = _rare_pairs(classes, label).checkpoint()
     if not more.isEmpty():
