@@ -39,3 +39,29 @@ def test_toxicity_edges(odd, tables):
     got = toxicity.score(odd, model).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in toxicity.score(odd, toxicity.train(odd, tables("labels").where("false"))).collect()} == {0.0}
+
+
+def _stems(copies=1, seed=3):
+    """Made-up texts; toxic ones hold a stem with ever new endings, ordinary ones seldom."""
+    import random
+
+    r = random.Random(seed)
+    made = lambda n: "".join(r.choice("abdefgiklmnoprstu") for _ in range(n))
+    texts, labels = [], []
+    for i in range(400):
+        y = int(i % 8 < 2)
+        w = ["common"] + [made(r.randint(3, 9)) for _ in range(120)]
+        for _ in range(4 if y else r.random() < 0.03):
+            w[r.randrange(1, 120)] = "zwäxuq" + made(r.randint(2, 5))
+        texts.append(" ".join(w))
+        labels.append(y)
+    return texts, labels
+
+
+def test_toxicity_stems():
+    texts, labels = _stems()
+    model = toxicity.Model(texts, labels)
+    fresh, y = _stems(seed=4)
+    got = model.scores(fresh) >= 0.3
+    assert sum(p for p, t in zip(got, y) if t) >= 0.95 * sum(y)
+    assert sum(p for p, t in zip(got, y) if not t) <= 0.02 * len(y)
