@@ -9,7 +9,7 @@ more toxic documents hold, or hold densely, than chance would give. Gains under
 none, and a word gains what its best window does. A document's figures are its largest
 gain, its count of gaining words (more than three tell no more) and their share of all
 words, turned into a probability by a logistic fit on the labelled sample (at most SAMPLE
-rows; odd rows choose the dictionary, all rows calibrate).
+rows; odd rows choose the dictionary, all rows calibrate). Copies in the sample count once.
 Null and empty texts have no window and score as such. Without both labels every score
 is the known share (0 without labels).
 """
@@ -18,6 +18,7 @@ import string
 from rayframe.llm.common import held_out, sample_labelled, small_batches
 
 SAMPLE, WORDS_EACH, CACHE, LONGEST = 4000, 400, 300_000, 8
+PERMUTATIONS, ALIKE = 16, 0.7
 # A document holds a piece densely if it has it twice and once in so many words.
 DENSE = 250
 MARKS = string.punctuation + "\u00a1\u00bf\u00ab\u00bb\u201c\u201d\u201e\u2018\u2019\u2026"
@@ -36,11 +37,35 @@ def pieces(word):
     return [word[:k] for k in range(3, min(len(word), LONGEST) + 1)] + [word + ">>"]
 
 
+def copies(sets):
+    """The number of the first of its copies for each word set: MinHash bands propose, Jaccard decides."""
+    import zlib
+
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    by = r.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
+    firsts, bands = list(range(len(sets))), {}
+    for i, words in enumerate(sets):
+        h = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words], dtype=np.uint64) + np.uint64(1)
+        least = ((h[:, None] * by) >> np.uint64(20)).min(0).tolist() if len(h) else [0] * PERMUTATIONS
+        keys, tried = [(b, least[b], least[b + 1]) for b in range(0, PERMUTATIONS, 2)], set()
+        for j in (j for k in keys for j in bands.get(k, ())):
+            if j not in tried:
+                tried.add(j)
+                if len(words & sets[j]) >= ALIKE * len(words | sets[j]):
+                    firsts[i] = j
+                    break
+        if firsts[i] == i:
+            for k in keys:
+                bands.setdefault(k, []).append(i)
+    return firsts
+
+
 class Model:
     def __init__(self, texts, labels):
         import math
         import zlib
-        import zlib
         from collections import Counter
 
         import numpy as np
@@ -53,8 +78,12 @@ class Model:
         picked = [i for i in range(len(texts)) if i % 2 or len(labels) < 40]
         counted, alike = [Counter(windows(texts[i])) for i in picked], Counter()
         seen = [set(c) for c in counted]
-        # Copies share their least word hash and count as one document.
-        firsts = [(min((zlib.crc32(w.encode()) for w in seen[k]), default=0), labels[i]) for k, i in enumerate(picked)]
+        # Copies of a class count as one document.
+        firsts = [None] * len(picked)
+        for y in (0, 1):
+            own = [k for k, i in enumerate(picked) if labels[i] == y]
+            for k, f in zip(own, copies([seen[k] for k in own])):
+                firsts[k] = own[f]
         alike.update(firsts)
         for k, i in enumerate(picked):
             share, held = 1 / alike[firsts[k]], Counter()

@@ -65,3 +65,12 @@ def test_toxicity_stems():
     got = model.scores(fresh) >= 0.3
     assert sum(p for p, t in zip(got, y) if t) >= 0.95 * sum(y)
     assert sum(p for p, t in zip(got, y) if not t) <= 0.02 * len(y)
+
+
+def test_toxicity_copies():
+    """Texts that share one word, of whatever hash, are no copies; texts with few changes are."""
+    words = [f"w{i}" for i in range(4000)]
+    apart = [set(words[i * 50 : i * 50 + 50]) | {"common", "and", "the"} for i in range(60)]
+    assert toxicity.copies(apart) == list(range(60))
+    near = apart[0] - {"w1"} | {"new"}
+    assert toxicity.copies([*apart, near, apart[7]])[60:] == [0, 7]
