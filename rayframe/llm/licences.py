@@ -6,13 +6,16 @@ and from at most SAMPLE ordinary documents' paragraphs. A family stands only if
 probability reaches a cut calibrated on held-back ordinary paragraphs and a template
 of the family shares enough words in order with the paragraph; the rest are `unknown`
 where the classifier sees a licence, else none. Paragraphs are lines; null, empty and
-blank ones have no licence.
+blank ones have no licence. A line is judged as a whole and by each stretch of it that
+a template resembles or that surrounds a licence word, so a notice in a long line is not
+outvoted; a line can hold several families. Without such a stretch no verdict is possible.
 """
+import bisect
 import re
 
 from rayframe.llm.common import sample, small_batches
 
-SAMPLE, BITS, EPOCHS, OVERLAP = 400, 15, 6, 0.6
+SAMPLE, BITS, EPOCHS, OVERLAP, AROUND = 400, 15, 6, 0.6, 8
 # Families and their common short notices.
 TEMPLATES = {
     "apache": ["licensed under the apache license version 2.0", "released under the apache license"],
@@ -31,6 +34,20 @@ def words(text):
     return WORD.findall(text.lower())
 
 
+def _pairs():
+    """The templates, as (family, number, words), of each word pair."""
+    out = {}
+    for family, notices in TEMPLATES.items():
+        for k, notice in enumerate(notices):
+            t = words(notice)
+            for pair in zip(t, t[1:]):
+                out.setdefault(pair, set()).add((family, k, len(t)))
+    return out
+
+
+PAIRS = _pairs()
+
+
 def features(ws):
     import zlib
 
@@ -44,6 +61,29 @@ def likeness(template, ws):
     return sum(p in have for p in zip(t, t[1:])) / max(1, len(t) - 1)
 
 
+def stretches(ws):
+    """(start, end) of stretches that hold enough word pairs of one template."""
+    at, out = {}, []
+    for i, pair in enumerate(zip(ws, ws[1:])):
+        for t in PAIRS.get(pair, ()):
+            at.setdefault(t, []).append((i, pair))
+    for t, found in at.items():
+        need, reach = OVERLAP * (t[2] - 1), 1.5 * t[2] + 2
+        if len({pair for _, pair in found}) < need:
+            continue
+        for a, (first, _) in enumerate(found):
+            have, last = set(), first
+            for i, pair in found[a:]:
+                if i - first > reach:
+                    break
+                if pair not in have:
+                    have.add(pair)
+                    last = i
+            if len(have) >= need:
+                out.append((first, last + 2))
+    return sorted(set(out))
+
+
 class Model:
     def __init__(self, ordinary):
         import random
@@ -59,7 +99,9 @@ class Model:
                     other, ws = r.choice(kept), words(t)
                     ws = [w for w in ws if r.random() > 0.05]
                     rows.append((features(other[: r.randint(0, 6)] + ws + other[: r.randint(0, 6)]), k))
-        plain = [(features(w), 0) for w in kept]
+        # Long lines also as they are looked at round a licence word.
+        cuts = [(w, r.randrange(len(w))) for w in kept if len(w) > 2 * AROUND + 1]
+        plain = [(features(w), 0) for w in kept + [w[max(0, i - AROUND) : i + AROUND + 1] for w, i in cuts]]
         rows += plain[::2]
         self.w = np.zeros((1 << BITS, len(self.names)))
         g2 = np.full_like(self.w, 1e-3)
@@ -81,17 +123,50 @@ class Model:
         e = np.exp(s - s.max())
         return e / e.sum()
 
-    def family(self, paragraph):
-        """(family or unknown or None, probability of any licence)."""
-        ws = words(paragraph)
-        if not ws:
-            return None, 0.0
+    def _judge(self, ws):
+        """(family or unknown or None, probability of any licence) of some words taken as one."""
         p = self._soft(features(ws))
         best = self.names[1 + int(p[1:].argmax())]
         if max(likeness(t, ws) for t in TEMPLATES[best]) >= OVERLAP and p[1:].sum() >= self.cut:
             return best, float(1 - p[0])
         return ("unknown" if p[1:].sum() >= self.cut and HINT & set(ws) else None), float(1 - p[0])
 
+    def families(self, paragraph):
+        """{family or unknown: greatest probability of any licence} of a paragraph's stretches."""
+        ws = words(paragraph)
+        whole, hints = (0, len(ws)), [i for i, w in enumerate(ws) if w in HINT]
+        near = stretches(ws)
+        if not hints and not near:
+            return {}
+        out, covered, unsure = {}, [], 0.0
+        for a, b in [whole, *(x for x in near if x != whole)]:
+            name, p = self._judge(ws[a:b])
+            if name == "unknown":
+                unsure = max(unsure, p)
+            elif name:
+                out[name] = max(out.get(name, 0), p)
+                covered.append((a, b))
+        # A hint in or next to a confirmed notice belongs to it; where only the line as a whole is confirmed, all do.
+        covered = [c for c in covered if c != whole] or covered
+        end, k = -1 - AROUND, 0
+        for i in hints:
+            while k < len(covered) and covered[k][0] - AROUND <= i:
+                end = max(end, covered[k][1])
+                k += 1
+            if i < end + AROUND:
+                continue
+            name, p = self._judge(ws[max(0, i - AROUND) : i + AROUND + 1])
+            if name:
+                out[name] = max(out.get(name, 0), p)
+        if unsure and not out:
+            out["unknown"] = unsure
+        return out
+
+    def family(self, paragraph):
+        """(the likeliest family or unknown or None, probability of any licence)."""
+        got = self.families(paragraph)
+        return max(got.items(), key=lambda x: (x[0] != "unknown", x[1], x[0]), default=(None, 0.0))
+
 
 def train(docs, bound=SAMPLE):
     s = sample(docs.where("length(text) > 0"), bound, "text")
@@ -107,8 +182,8 @@ def scan(docs, model):
         for pdf in batches:
             rows = []
             for d, t in zip(pdf.doc_id, pdf.text):
-                hits = [f for f in (model.family(p)[0] for p in (t or "").split("\n")) if f]
-                rows.append((d, sorted(set(hits)), len(hits)))
+                hits = [f for f in map(model.families, (t or "").split("\n")) if f]
+                rows.append((d, sorted(set().union(*hits)), len(hits)))
             yield pd.DataFrame(rows, columns=["doc_id", "families", "n_paragraphs"])
 
     small_batches(docs.sparkSession)
