@@ -10,16 +10,32 @@ STOP = set("the of and to in a is that it for was on are as with he be at by thi
 # Elements whose content is never main text, and elements inside a line.
 SKIP = {"script", "style", "nav", "footer", "aside", "form", "head", "header", "noscript", "template", "button", "select", "textarea", "iframe", "svg"}
 INLINE = {"a", "b", "i", "em", "strong", "span", "u", "s", "sub", "sup", "small", "code", "mark", "abbr", "q", "cite", "font", "time", "wbr", "img"}
-VOID = {"br", "img", "hr", "meta", "link", "input", "wbr"}
+VOID = {"br", "img", "hr", "meta", "link", "input", "wbr", "area", "base", "col", "embed", "param", "source", "track"}
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)([^>]*)>|<![^>]*>")
-NOTICE = re.compile(r"""\b(?:class|id|role)\s*=\s*["']?[^"'>]*\b(?:ads?|advert\w*|banner|cookies?|comments?|sidebar|menu|notice|promo|share|related|newsletter|navigation)\b""", re.I)
+NOTICE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# Whole class, id or role names of what is never main text, and elements that no name makes a notice.
+NAMES = re.compile(r"ads?|advert\w*|(?:cookie|promo|share|newsletter)(?:-?(?:banner|notice|bar|box))?|banner|cookies|comments?|sidebar|menu|notice|related|navigation", re.I)
+MAIN = {"html", "body", "main", "article"}
+# Start tags and end tags of a parent that end an element without an end tag of its own.
+FLOW = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+CLOSED_BY = {
+    "p": FLOW, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"},
+    "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "head": {"body"},
+}
+# Elements inside which a start tag belongs to a new list or table, not to the skipped one.
+SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, **dict.fromkeys(("td", "th", "tr", "tbody", "thead"), {"table"}), "option": {"select"}, "optgroup": {"select"}}
+
+
+def noticed(attributes):
+    """Whether a whole class, id or role name is that of a notice."""
+    return any(NAMES.fullmatch(t) for m in NOTICE.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split())
 
 
 def blocks(page):
     """(text, link characters, in article, heading) in page order."""
     out, parts, links, anchors, article, skipped = [], [], 0, 0, 0, []
-    state = False
+    state, around = False, []
 
     def close():
         nonlocal parts, links
@@ -41,21 +57,46 @@ def blocks(page):
             continue
         end, name = bool(m[1]), m[2].lower()
         if skipped:
-            if name == skipped[-1] and end:
-                skipped.pop()
-            elif name == skipped[-1]:
-                skipped.append(name)
-            continue
+            if end:
+                if name in skipped:
+                    # An end tag also ends what is open inside its element.
+                    del skipped[len(skipped) - 1 - skipped[::-1].index(name) :]
+                    continue
+                # One of an element around the skipped one ends that too.
+                if name not in around:
+                    continue
+                skipped.clear()
+            else:
+                while skipped and name in CLOSED_BY.get(skipped[-1], ()):
+                    skipped.pop()
+                if skipped:
+                    # Of the elements inside, a start tag ends the last of its kind in the same list or table.
+                    k = len(skipped) - 1
+                    while k >= 0 and name not in CLOSED_BY.get(skipped[k], ()) and skipped[k] not in SCOPE.get(name, ()):
+                        k -= 1
+                    if k >= 0 and name in SCOPE and name in CLOSED_BY.get(skipped[k], ()):
+                        del skipped[k:]
+                if skipped:
+                    if name not in VOID:
+                        skipped.append(name)
+                    continue
+        while around and not end and name in CLOSED_BY.get(around[-1], ()):
+            around.pop()
         if name not in INLINE:
             close()
             state = bool(re.fullmatch("h[1-6]", name)) and not end
-        if not end and name not in VOID and (name in SKIP and not (name == "header" and article) or NOTICE.search(m[3])):
+        if not end and name not in VOID and (name in SKIP and not (name == "header" and article) or name not in MAIN and noticed(m[3])):
             close()
             skipped.append(name)
+            continue
         elif name == "a":
             anchors = max(0, anchors + (-1 if end else 1))
         elif name == "article":
             article = max(0, article + (-1 if end else 1))
+        if end and name in around:
+            del around[len(around) - 1 - around[::-1].index(name) :]
+        elif not end and name not in VOID and name not in INLINE:
+            around.append(name)
     close()
     return out
 

@@ -8,3 +8,25 @@ def test_article_only():
 
 def test_empty():
     assert main_text(None) == main_text("") == ""
+
+
+def test_names_are_whole():
+    for page in ('<body class="has-sidebar"><article><p>text</article>', '<body class="menu"><article><div class="content no-comments"><p>text</div></article>', '<article class="post share"><p>text</article>', '<article><p data-class="ad">text</article>'):
+        assert main_text(page) == "text"
+    for name in ("ad", "x ads", "cookie-banner", "comments"):
+        assert main_text(f'<article><div class="{name}"><p>no</div><p>text</article>') == "text"
+
+
+def test_omitted_end_tags():
+    cases = {
+        '<ul><li class="menu-item">a<li class=b>c</ul><p>t': "a\nc\nt",
+        "<ul><li class='menu'>a<li>b</ul><p>t": "b\nt",
+        "<p class='notice'>x<p>text": "text",
+        "<ul><li class=menu>a<ul><li>i<li>j</ul>k<li>b</ul><p>t": "b\nt",
+        "<table><tr><td class=ad>x<td>y<tr class=ad><td>z<tr><td>w</table>t": "y\nw\nt",
+        "<div class=ad><p>q<p>r<br><img src=x></div>t": "t",
+        "<section><div class=ad>q</section>t": "t",
+        "<embed class=ad>t": "t",
+    }
+    for part, text in cases.items():
+        assert main_text(f"<html><body><article>{part}</article>") == text
