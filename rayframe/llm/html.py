@@ -13,6 +13,7 @@ INLINE = {"a", "b", "i", "em", "strong", "span", "u", "s", "sub", "sup", "small"
 VOID = {"br", "img", "hr", "meta", "link", "input", "wbr", "area", "base", "col", "embed", "param", "source", "track"}
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)([^>]*)>|<![^>]*>")
+WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+")
 NOTICE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Whole class, id or role names of what is never main text, and elements that no name makes a notice.
 NAMES = re.compile(r"ads?|advert\w*|(?:cookie|promo|share|newsletter)(?:-?(?:banner|notice|bar|box))?|banner|cookies|comments?|sidebar|menu|notice|related|navigation", re.I)
@@ -104,15 +105,21 @@ def blocks(page):
 def main_text(page):
     found = blocks(page or "")
     marks = []
+    # Where the page's text is in none of the languages of STOP, length and links alone decide.
+    running = [w.strip(".,;:!?") for text, links, _, _ in found if links <= 0.5 * len(text) for w in text.lower().split()]
+    fits = sum(w in STOP for w in running) >= 0.1 * len(running)
+    wide = sum(map(len, WIDE.findall("".join(running))))
+    # Scripts without spaces say as much in fewer characters.
+    long = 50 if wide > 0.3 * sum(map(len, running)) else 140
     for text, links, inside, heading in found:
         words = text.lower().split()
         dense = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
         if links > 0.5 * len(text):
             marks.append(False)
-        elif inside or len(text) >= 140 and dense >= 0.1:
+        elif inside or len(text) >= long and (dense >= 0.1 or not fits):
             marks.append(True)
         else:
-            marks.append(False if len(text) >= 140 else None)
+            marks.append(False if len(text) >= long else None)
     kept = []
     left, before = None, []
     for mark in marks:

@@ -30,3 +30,19 @@ def test_omitted_end_tags():
     }
     for part, text in cases.items():
         assert main_text(f"<html><body><article>{part}</article>") == text
+
+
+def test_without_article_in_other_languages():
+    texts = {
+        "ru": "Вчера вечером жители небольшого города собрались на площади, чтобы обсудить новые правила движения транспорта и работу городских служб в зимнее время года.",
+        "pl": "Wczoraj wieczorem mieszkańcy niewielkiego miasta zebrali się na rynku, aby omówić nowe zasady ruchu oraz pracę służb miejskich podczas zimowych miesięcy roku.",
+        "tr": "Dün akşam küçük kasabanın sakinleri yeni trafik kurallarını ve kış aylarında belediye hizmetlerinin nasıl çalışacağını görüşmek üzere meydanda bir araya geldiler.",
+        "ar": "اجتمع سكان المدينة الصغيرة مساء أمس في الساحة لمناقشة قواعد المرور الجديدة وعمل الخدمات البلدية خلال أشهر الشتاء الباردة من هذه السنة وما يليها من أعوام قادمة.",
+        "zh": "昨天晚上，小城的居民聚集在广场上，讨论新的交通规则以及冬季市政服务的工作安排，会议持续了三个多小时，许多人提出了自己的意见和建议。",
+        "ja": "昨日の夜、小さな町の住民は広場に集まり、新しい交通規則と冬の間の市のサービスについて話し合い、多くの人が自分の意見や提案を述べました。",
+        "en": "The people of the small town came to the square in the evening to speak of the new rules of the road and of the work that is to be done by the town in winter.",
+    }
+    for lang, text in texts.items():
+        links = "".join(f"<li><a href='/{i}'>{text[:30]}</a></li>" for i in range(8))
+        page = f"<html><body><ul>{links}</ul><div><p>{text}</p><p>{text}</p></div><div><a href='/'>{text}</a></div></body></html>"
+        assert main_text(page) == f"{text}\n{text}", lang
