@@ -1,7 +1,10 @@
 """Helpers shared by the text operators."""
+import uuid
+
 from pyspark.sql import functions as F
 
 BATCH = "256"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark):
@@ -9,15 +12,73 @@ def small_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
-def ready(spark):
-    """A checkpoint folder: the cluster's, or one of our own where none is set."""
+def shared_folder(spark):
+    """The cluster's checkpoint folder; in local mode one of our own where none is set."""
     import tempfile
 
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp()
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
+def ready(spark):
+    shared_folder(spark)
     small_batches(spark)
 
 
+class Tables:
+    """Tables written to the shared folder between the steps of an operator.
+
+    A table is whole before the next step reads it, so a lost executor costs tasks only;
+    shuffle files go when a table is written, and drop() removes tables no longer needed.
+    """
+
+    def __init__(self, spark, name):
+        self.spark, self.at = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def save(self, df, name):
+        conf = self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.at}/{name}")
+        finally:
+            conf.set(CLEANUP, before)
+        return self.spark.read.parquet(f"{self.at}/{name}")
+
+    def drop(self, *names):
+        """Removes the named tables, or all without names."""
+        jvm = self.spark.sparkContext._jvm
+        for path in [f"{self.at}/{n}" for n in names] or [self.at]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def rows_of(batches, *columns):
+    """Per Arrow batch the named columns, strings as Python values."""
+    for b in batches:
+        yield [b.column(b.schema.get_field_index(c)).to_pylist() for c in columns]
+
+
+def groups(batches, keys):
+    """(key, rows) of runs of rows with equal keys in an Arrow batch stream; rows are dicts."""
+    now, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            key = tuple(r[k] for k in keys)
+            if key != now:
+                if rows:
+                    yield now, rows
+                now, rows = key, []
+            rows.append(r)
+    if rows:
+        yield now, rows
+
+
 def held_out(modulus, rest):
     """crc32 of the doc_id as text, modulo; null ids count as the text 'null'."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % modulus == rest
