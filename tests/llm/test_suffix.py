@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from rayframe.llm import suffix
 from rayframe.llm.suffix import LENGTH, digests, without_repeats
 
 
@@ -37,3 +38,23 @@ def test_edges(spark, odd):
     assert digests(docs.where("false")).count() == 0
     assert digests(odd).count() == odd.count() == without_repeats(odd).count()
     assert without_repeats(odd).columns == odd.columns
+
+
+def test_hot_keys_and_equal_texts(spark, monkeypatch):
+    """One passage in most documents between different words, its ends too, and groups of equal texts."""
+    monkeypatch.setattr(suffix, "HOT", 6)
+    monkeypatch.setattr(suffix, "PART", 200)
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    passage = " ".join(word() for _ in range(14))
+    rows = []
+    for d in range(60):
+        own = " ".join(word() for _ in range(r.randrange(12)))
+        rows.append((d, f"{own} {passage[r.randrange(30):]} {own[:r.randrange(9)]}" + " ".join(word() for _ in range(r.randrange(40)))))
+    rows += [(100 + d, rows[d % 3][1]) for d in range(9)] + [(d, rows[7][1]) for d in (3, 3)] + [(None, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute([x for x in rows if x[0] is not None])
+    assert sorted(map(tuple, digests(docs.where("doc_id is not null")).collect())) == want
+    assert sorted(map(tuple, digests(docs).where("doc_id is not null").collect())) == want
+    kept = {x.doc_id: x.text for x in without_repeats(docs).where("doc_id >= 100").collect()}
+    assert all(len(t) == 0 for t in kept.values())
