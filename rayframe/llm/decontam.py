@@ -11,14 +11,12 @@ The first step is split by pigeonholes again: a part of what stands beside the p
 be in the text near it unchanged.
 Myers' bit-parallel distance judges each step and the whole window. Items go to executors in blocks of
 BLOCK_CHARS at most, each a pass over all rows, so what is sent has a fixed bound.
-Null or empty texts and items match nothing; items of equal text all match. Items
-shorter than MIN_CHARS are too common to count as a leak and match nothing.
+Null or empty texts and items match nothing; items of equal text all match. Items under
+SHORT code points match only as they are and between word bounds.
 """
-from pyspark.sql import functions as F
-
 from rayframe.llm.common import small_batches
 
-RATE, BLOCK_CHARS, MIN_CHARS = 0.1, 4_000_000, 40
+RATE, BLOCK_CHARS, SHORT = 0.1, 4_000_000, 40
 
 
 def norm(text):
@@ -45,6 +43,17 @@ def least_distance(pattern, text):
     return best
 
 
+def budget(item):
+    """Edits that an item may have."""
+    return int(len(item) * RATE) if len(item) >= SHORT else 0
+
+
+def bounded(text, start, end):
+    """Whether text[start:end] begins and ends at word bounds."""
+    apart = lambda i: i <= 0 or i >= len(text) or not (text[i - 1].isalnum() and text[i].isalnum())
+    return apart(start) and apart(end)
+
+
 def ancestors(n, p):
     """Spans (lo, hi) of pieces above leaf p of a binary tree over n leaves, smallest first, without the root."""
     lo, hi, out = 0, n, []
@@ -73,7 +82,7 @@ class Matcher:
         self.items, pieces = items, {}
         for k, (_, text) in enumerate(items):
             m = len(text)
-            e = int(m * RATE)
+            e = budget(text)
             cuts = [m * i // (e + 1) for i in range(e + 2)]
             for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 climb = [(cuts[lo], cuts[hi], hi - lo - 1) for lo, hi in ancestors(e + 1, p)]
@@ -92,7 +101,13 @@ class Matcher:
             return found
         for end, (size, places) in self.automaton.iter(text):
             for k, a, climb, parts in places:
-                s, item, e = end + 1 - size - a, self.items[k][1], len(self.items[k][1]) * RATE
+                s, item = end + 1 - size - a, self.items[k][1]
+                e = budget(item)
+                if len(item) < SHORT:
+                    # The piece is the whole item.
+                    if self.items[k][0] not in found and bounded(text, s, end + 1):
+                        found[self.items[k][0]] = (0, end + 1)
+                    continue
                 if k in spans and abs(s - spans[k][-1]) <= e:
                     spans[k].append(s)  # joins a place that will be judged anyhow
                     continue
@@ -108,7 +123,7 @@ class Matcher:
                     spans.setdefault(k, []).append(s)
         for k, starts in spans.items():
             item_id, item = self.items[k]
-            e = int(len(item) * RATE)
+            e = budget(item)
             lo = hi = None
             for s in [*sorted(starts), None]:
                 if s is not None and hi is not None and s - e <= hi:
@@ -127,7 +142,7 @@ def _blocks(benchmark):
     block, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         t = norm(r.text).strip()
-        if len(t) < MIN_CHARS:
+        if not t:
             continue
         if block and size + len(t) > BLOCK_CHARS:
             yield block
@@ -159,6 +174,18 @@ def leaks(docs, benchmark):
 
 
 def clean(docs, benchmark):
-    """Rows of docs without any leak; rows with a null doc_id are judged like others only by their id, so they stay."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id == F.col("_bad"), "left_anti")
+    """Rows of docs whose text holds no item; the text decides, so rows with a null or repeated doc_id are judged like others."""
+    spark, names = docs.sparkSession, docs.columns
+    small_batches(spark)
+    for block in _blocks(benchmark):
+
+        def run(batches, sent=spark.sparkContext.broadcast(block)):
+            import pyarrow as pa
+
+            m, at = Matcher(sent.value), names.index("text")
+            for b in batches:
+                keep = [not m.find(t) for t in b.column(at).to_pylist()]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

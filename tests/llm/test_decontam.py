@@ -35,3 +35,14 @@ def test_same_as_brute_force(spark):
     assert {tuple(x)[:3] for x in leaks(docs, bench).collect()} == want
     assert clean(docs, bench).count() == len(texts) - len(want)
     assert leaks(docs, bench.where("false")).count() == 0 == leaks(docs.where("false"), bench).count()
+
+
+def test_short_items_at_word_bounds_and_clean_by_text(spark):
+    from rayframe.llm.decontam import clean
+
+    items = spark.createDataFrame([(1, "Yes or no"), (2, "ab"), (3, ""), (4, None)], "item_id long, text string")
+    rows = [(1, "well, yes  or no?"), (2, "byes or not"), (3, "cab ab"), (4, "cabs"), (None, "say ab"), (5, None), (5, "ab"), (5, "plain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id) for r in leaks(docs, items).collect()) == [(0, 2), (1, 1), (3, 2), (5, 2)]
+    assert sorted(map(str, (tuple(r) for r in clean(docs, items).collect()))) == sorted(map(str, [(2, "byes or not"), (4, "cabs"), (5, None), (5, "plain")]))
+    assert clean(docs.where("false"), items).count() == 0
