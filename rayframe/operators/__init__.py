@@ -1,35 +0,0 @@
-"""Parallel-beam taps and projections on a 16 x 16 grid, 8 views, 24 channels, as one SQL text per query.
-
-{grid} yields view and pix; the two engines differ only in how a series is written.
-"""
-
-from rayframe.operators import volume
-
-_TAPS = """g AS (SELECT v.id AS view, p.id AS pix, acos(-1e0) * v.id / 8 AS th, (p.id % 16) - 7.5e0 AS x, floor(p.id / 16) - 7.5e0 AS y FROM {views} v CROSS JOIN {pixels} p),
-n AS (SELECT view, pix, cos(th) * x - sin(th) * y + 11.5e0 AS np, greatest(abs(cos(th)), abs(sin(th))) AS f FROM g),
-o AS (SELECT view, pix, f, np, CAST({rint}(np) AS INT) + k.id - 1 AS channel FROM n CROSS JOIN {offsets} k),
-taps AS (SELECT CAST(view AS INT) AS view, CAST(pix AS INT) AS pix, CAST(channel AS INT) AS channel,
- greatest(0e0, least((f + 1) / 2 - abs(np - channel), least(1e0, f))) / f AS a FROM o WHERE channel BETWEEN 0 AND 23)"""
-_BODIES = {
-    "parallel_taps": "SELECT view, pix, channel, round(a, 6) + 0e0 AS a FROM taps WHERE a > 1e-9",
-    "parallel_forward": "SELECT view, channel, round(sum(a * (1 + pix % 7)), 6) + 0e0 AS v FROM taps GROUP BY view, channel",
-    "parallel_back": "SELECT pix, round(sum(a * (1 + (view * 5 + channel) % 11)), 6) + 0e0 AS v FROM taps GROUP BY pix",
-    "fbp_parallel": """, y AS (SELECT CAST(v.id AS INT) AS view, CAST(c.id AS INT) AS channel, 1e0 + (v.id * 5 + c.id) % 11 AS y FROM {views} v CROSS JOIN {channels} c),
- q AS (SELECT a.view, a.channel, sum(b.y * CASE WHEN a.channel = b.channel THEN 0.25e0 WHEN abs(a.channel - b.channel) % 2 = 0 THEN 0e0
- ELSE -1 / power(acos(-1e0) * (a.channel - b.channel), 2) END) * acos(-1e0) / 8 AS f FROM y a JOIN y b ON a.view = b.view GROUP BY a.view, a.channel)
- SELECT pix, round(sum(a * f), 6) + 0e0 AS v FROM taps JOIN q USING (view, channel) GROUP BY pix""",
-    "parallel_hessian": "SELECT pix, round(sum(a * a), 6) + 0e0 AS v FROM taps GROUP BY pix",
-}
-_SPARK = {"views": "range(8)", "pixels": "range(256)", "offsets": "range(3)", "channels": "range(24)", "rint": "rint"}
-_DUCK = {"views": "(SELECT range AS id FROM range(8))", "pixels": "(SELECT range AS id FROM range(256))", "offsets": "(SELECT range AS id FROM range(3))", "channels": "(SELECT range AS id FROM range(24))", "rint": "round_even_"}
-
-
-def _text(body, words):
-    sql = f"WITH {_TAPS} {body}".format(**words)
-    return sql.replace("round_even_(np)", "round_even(np, 0)")
-
-
-SQL = {k: _text(b, _DUCK) for k, b in _BODIES.items()}
-QUERIES = {k: (lambda spark, sf_dir, q=_text(b, _SPARK): spark.sql(q)) for k, b in _BODIES.items()}
-SQL |= volume.SQL
-QUERIES |= volume.QUERIES

@@ -40,24 +40,19 @@ _CUBE = """, k AS (SELECT a.id - 1 AS i, b.id - 1 AS j, d.id - 1 AS l FROM {seri
  n AS (SELECT m.r, m.c, m.s, v.x FROM moved m JOIN vol v ON v.r = m.r2 AND v.c = m.c2 AND v.s = m.s2) """
 
 _BODIES = {
-    "qggmrf_gradient": _VOL + _NEAR + "SELECT r, c, s, round(" + " + ".join(f"{_twice_b_tilde(d)} * {d}" for d in _D) + ", 6) + 0e0 AS g FROM near",
-    "qggmrf_hessian": _VOL + _NEAR + "SELECT r, c, s, round(" + " + ".join(map(_twice_b_tilde, _D)) + ", 4) + 0e0 AS h FROM near",
     "qggmrf_loss": _VOL + _NEAR + "SELECT round(sum(" + " + ".join(f"CASE WHEN {last} THEN 0e0 ELSE {_rho(d)} END" for d, last in (("d1", "r = 11"), ("d3", "c = 11"), ("d5", "s = 5"))) + "), 6) AS loss FROM near",
     "prox_gradient": _VOL + "SELECT r, c, s, round((x - ((r + c + s) % 5) / 5e0) / power(0.5e0, 2), 6) + 0e0 AS g FROM vol",
-    "neighbor_max_diff": _VOL + _NEAR + "SELECT r, c, s, round(greatest(abs(d1), abs(d2), abs(d3), abs(d4)), 6) AS v FROM near",
     "box_sum_3x3": _VOL + f", one AS (SELECT r, c, s, sum(x) {_BOX} AS y FROM vol) SELECT r, c, s, round(sum(y) OVER (PARTITION BY r, s ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS v FROM one",
     "median3d": _VOL + _CUBE + "SELECT r, c, s, round({median}, 6) AS med, round(min(x), 6) AS lo, round(max(x), 6) AS hi FROM n GROUP BY r, c, s",
     "image_ell1": _VOL + "SELECT round(sum(abs(x - 0.5e0)), 6) AS v FROM vol",
     "volume_difference": _VOL + ", w AS (SELECT r, c, s, ((r + c * 3 + s) % 5) / 5e0 AS y FROM vol) SELECT s, round(sqrt(avg((x - y) * (x - y))), 6) AS rmse, round(max(abs(x - y)), 6) AS worst FROM vol JOIN w USING (r, c, s) GROUP BY s",
     "roi_stats": _VOL + "SELECT s, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS lo, round(max(x), 6) AS hi FROM vol WHERE (r - 5) * (r - 5) + (c - 6) * (c - 6) <= 16 GROUP BY s",
     "data_range": _VOL + "SELECT round(min(x), 6) AS lo, round(max(x), 6) AS hi FROM vol",
-    "cylindrical_mask": _VOL + "SELECT r, c, s, round(CASE WHEN power(r - 5.5e0, 2) + power(c - 5.5e0, 2) <= power(5.5e0 - 1, 2) AND s >= 1 AND s < 6 - 2 THEN x ELSE 0e0 END, 6) AS v FROM vol",
     "ror_mask": _VOL + "SELECT r, c, power((c - 5.5e0) / 5.5e0, 2) + power((r - 5.5e0) / 5.5e0, 2) <= 1 AS inside FROM vol WHERE s = 0",
     "full_indices": _VOL + "SELECT r * 12 + c AS pix FROM vol WHERE s = 0 AND power((c - 5.5e0) / 5.5e0, 2) + power((r - 5.5e0) / 5.5e0, 2) <= 1",
     "argmin_3d": _VOL + "SELECT r, c, s, round(x, 6) AS v FROM vol ORDER BY x, r, c, s LIMIT 1",
     "scaling_factor": _VOL + "SELECT round(sum(x * ((r + c) % 3)) / (sum(x * x) + 1e-8), 6) AS k FROM vol",
     "segment_masks": _VOL + "SELECT r, c, s, CASE WHEN x <= 0.3e0 THEN 0 WHEN x <= 0.7e0 THEN 1 ELSE 2 END AS class FROM vol",
-    "pixel_partition": _VOL + ", p AS (SELECT CAST(r * 12 + c AS BIGINT) AS pix FROM vol WHERE s = 0) SELECT pix, CAST(ntile(4) OVER (ORDER BY (pix * 2654435761) % 4294967296, pix) AS INT) AS subset FROM p",
     "partition_sequence": "SELECT CAST(id AS INT) AS i, CASE id WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 6 ELSE 7 END AS granularity FROM {series:10}",
     "phantom_cube": "SELECT CAST(a.id AS INT) AS r, CAST(b.id AS INT) AS c, CAST(d.id AS INT) AS s, CASE WHEN a.id >= 6 AND a.id < 10 AND b.id >= 6 + floor(d.id * 4 / 8e0) AND b.id < 10 + floor(d.id * 4 / 8e0) THEN 0.25e0 ELSE 0e0 END AS v FROM {series:16} a CROSS JOIN {series:16} b CROSS JOIN {series:8} d",
     "phantom_shepp_logan": "WITH e(x0, y0, z0, a, b, c, t, v) AS (VALUES " + ELLIPSOIDS + """), g AS (SELECT a.id AS r, b.id AS c, d.id AS s, 2e0 * a.id / 15 - 1 AS x, 2e0 * b.id / 15 - 1 AS y, 2e0 * d.id / 7 - 1 AS z

@@ -1,6 +1,7 @@
-"""Queries on the measurement array; the same text is ANSI SQL for the oracle."""
-from functools import partial
+"""Queries on the measurement array: Spark runs the operators, the SQL is the oracle's."""
+from pyspark.sql import functions as F
 
+from rayframe.operators import hardening, regularise, scans
 from rayframe.sources.tables import SINO, run
 
 _BODIES = {
@@ -8,19 +9,12 @@ _BODIES = {
     "weights_transmission": "SELECT view, det_row, channel, round(exp(-value), 6) AS w FROM s",
     "weights_transmission_root": "SELECT view, det_row, channel, round(exp(-value / 2), 6) AS w FROM s",
     "weights_emission": "SELECT view, det_row, channel, round(1.0e0 / (abs(value) + 1.0e-1), 6) AS w FROM s",
-    "forward_model_loss": "SELECT round(sqrt(avg(value * value)), 6) AS loss FROM s",
-    "subsample_views": "SELECT view, det_row, channel, round(value, 6) AS v FROM s WHERE view % 3 = 0",
-    "downsample_2x2": "SELECT view, CAST(floor(det_row / 2) AS INT) AS r2, CAST(floor(channel / 2) AS INT) AS c2, round(avg(value), 6) AS v FROM s GROUP BY 1, 2, 3",
     "transmission": "SELECT view, det_row, channel, round(t, 6) + 0e0 AS t FROM t0",
     "defect_fill": "SELECT view, det_row, channel, round(t, 6) + 0e0 AS t FROM t3",
-    "weights_huber": "SELECT view, det_row, channel, round(CASE WHEN z <= 1 THEN 1e0 ELSE 0.7e0 / (z + 1e-6) END, 6) AS w FROM (SELECT view, det_row, channel, abs(err) / (sd * sqrt(sum(err * err) OVER ()) / (sqrt(sum(sd * sd) OVER ()) + 1e-6)) AS z FROM (SELECT view, det_row, channel, value - 0.76e0 AS err, exp(value / 2) AS sd FROM s) x) y",
     "bh_polynomial": "SELECT view, det_row, channel, round(value * (1e0 + value * (0.2e0 + value * 0.05e0)), 6) AS v FROM s",
     "remove_sino_offset": "SELECT view, det_row, channel, round(value - m + min(m) OVER (PARTITION BY det_row), 6) + 0e0 AS v FROM (SELECT view, det_row, channel, value, avg(value) OVER (PARTITION BY view, det_row) AS m FROM s) x",
     "sino_histogram": "SELECT bin, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(least(7, floor((value - lo) / ((hi - lo) / 8))) AS INT) AS bin FROM s CROSS JOIN (SELECT min(value) AS lo, max(value) AS hi FROM s) m) x GROUP BY bin",
     "line_search_terms": "SELECT round(sum(w * e * d), 6) AS lin, round(sum(w * d * d), 6) AS quad FROM (SELECT exp(-value) AS w, value - 0.76e0 AS e, (view + channel) % 3 - 1e0 AS d FROM s) x",
-    "iteration_stats": "SELECT round(sqrt(sum(w * e * e) / (avg(w) * count(*))), 6) AS fm_rmse, round(sum(abs(e)), 6) AS ell1, round(sqrt(avg(e * e)), 6) AS rmse FROM (SELECT exp(-value) AS w, value - 0.76e0 AS e FROM s) x",
-    "row_filter": "SELECT a.view, a.det_row, a.channel, round(sum(b.value * CASE WHEN a.channel = b.channel THEN 0.25e0 WHEN abs(a.channel - b.channel) % 2 = 0 THEN 0e0 ELSE -1 / power(acos(-1e0) * (a.channel - b.channel), 2) END), 6) + 0e0 AS v FROM s a JOIN s b ON a.view = b.view AND a.det_row = b.det_row GROUP BY 1, 2, 3",
-    "crop_scan": "SELECT view, det_row - 1 AS r2, channel - 2 AS c2, round(value, 6) AS v FROM s WHERE det_row >= 1 AND channel BETWEEN 2 AND 13",
 }
 # A scan made of the array: blank 1, dark 0.01; cells that hold no count and listed defects are NULL, then three fill passes and 0.
 _SCAN = "t0 AS (SELECT view, det_row, channel, CASE WHEN det_row = 2 AND channel IN (3, 4, 5) THEN NULL WHEN abs(exp(-value) - 1e-2) > 0 THEN -ln(abs(exp(-value) - 1e-2) / 0.99e0) END AS t FROM s)"
@@ -37,4 +31,48 @@ def _fill(i):
 
 _HEADS = {"transmission": _SCAN, "defect_fill": ", ".join([_SCAN, *map(_fill, range(3))])}
 SQL = {k: f"WITH s AS ({SINO}){', ' + _HEADS[k] if k in _HEADS else ''} {v}" for k, v in _BODIES.items()}
-QUERIES = {k: partial(lambda spark, sf_dir, q: run(spark, sf_dir, q), q=q) for k, q in SQL.items()}
+CELL = ["view", "det_row", "channel"]
+
+
+def _sino(spark, d):
+    return run(spark, d, SINO)
+
+
+def _out(df, name="v"):
+    return df.select(*CELL, (F.round("value", 6) + 0.0).alias(name))
+
+
+def _weights(kind):
+    return lambda spark, d: _out(regularise.weights(_sino(spark, d), kind), "w")
+
+
+def _scan(spark, d):
+    """The array as a scan: blank 1, dark 0.01, listed defects."""
+    y = scans.transmission(F.exp(-F.col("value")), F.lit(1.0), F.lit(0.01))
+    return scans.mark(_sino(spark, d).withColumn("value", y), spark.createDataFrame([(2, c) for c in (3, 4, 5)], "det_row int, channel int"))
+
+
+def _histogram(spark, d):
+    counts, _ = regularise.histogram(_sino(spark, d), 8)
+    return spark.createDataFrame([(i, int(n)) for i, n in enumerate(counts) if n], "bin int, n long")
+
+
+def _line(spark, d):
+    s = _sino(spark, d)
+    errors = s.select(*CELL, (F.col("value") - 0.76).alias("value"), F.exp(-F.col("value")).alias("weight"))
+    change = s.select(*CELL, ((F.col("view") + F.col("channel")) % 3 - 1.0).alias("value"))
+    return regularise.line_search_sums(errors, change).select(F.round("linear", 6).alias("lin"), F.round("quadratic", 6).alias("quad"))
+
+
+QUERIES = {
+    "weights_unweighted": _weights("unweighted"),
+    "weights_transmission": _weights("transmission"),
+    "weights_transmission_root": _weights("transmission_root"),
+    "weights_emission": _weights("emission"),
+    "transmission": lambda spark, d: _out(_scan(spark, d), "t"),
+    "defect_fill": lambda spark, d: _out(scans.fill(_scan(spark, d)), "t"),
+    "bh_polynomial": lambda spark, d: _out(_sino(spark, d).withColumn("value", hardening.polynomial(F.col("value"), [1.0, 0.2, 0.05]))),
+    "remove_sino_offset": lambda spark, d: _out(scans.remove_offset(_sino(spark, d))),
+    "sino_histogram": _histogram,
+    "line_search_terms": _line,
+}

@@ -5,6 +5,13 @@ SINO = """SELECT CAST(l_orderkey % 12 AS INT) AS view, CAST(l_partkey % 4 AS INT
  avg(l_extendedprice) / 50000 AS value FROM lineitem GROUP BY 1, 2, 3"""
 
 
+def table(spark, sf_dir, name):
+    """A table as a DataFrame, and under its name for SQL."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df.createOrReplaceTempView(name)
+    return df
+
+
 def run(spark, sf_dir, sql):
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    table(spark, sf_dir, "lineitem")
     return spark.sql(sql)

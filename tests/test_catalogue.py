@@ -1,14 +1,17 @@
 import duckdb
-from pyspark.sql import SparkSession
+import pytest
 
-from rayframe.plans.catalogue import QUERIES, SQL
+from rayframe.operators import volume
+from rayframe.plans import catalogue, scanner
 
 
-def test_same_rows_as_duckdb():
-    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").getOrCreate()
-    d, c = "/root/testdata/sf0.001", duckdb.connect()
+@pytest.mark.parametrize("module", [catalogue, volume, scanner])
+def test_same_rows_as_duckdb(spark, module):
+    d, c = "/root/testdata/sf0.01", duckdb.connect()
     c.sql(f"CREATE VIEW lineitem AS FROM '{d}/lineitem.parquet'")
-    for name, f in QUERIES.items():
-        df, rel = f(spark, d), c.sql(SQL[name])
-        assert df.columns == rel.columns
-        assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall()), name
+    assert set(module.QUERIES) == set(module.SQL)
+    for name, f in module.QUERIES.items():
+        df, rel = f(spark, d), c.sql(module.SQL[name])
+        assert sorted(df.columns) == sorted(rel.columns), name
+        rows = [tuple(r[rel.columns.index(k)] for k in df.columns) for r in rel.fetchall()]
+        assert sorted(map(tuple, df.collect())) == sorted(rows), name
