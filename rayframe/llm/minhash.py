@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rayframe.llm.common import Tables, groups, ready
 
-SKETCH, KEYS, WORDS, CHUNK, DEVIATIONS = 64, 16, 5, 256, 5
+SKETCH, KEYS, WORDS, CHUNK, DEVIATIONS = 64, 16, 5, 1024, 5
 SLACK = DEVIATIONS * (0.75 * 0.25 / SKETCH) ** 0.5
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
