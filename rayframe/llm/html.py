@@ -12,7 +12,8 @@ SKIP = {"script", "style", "nav", "footer", "aside", "form", "head", "header", "
 INLINE = {"a", "b", "i", "em", "strong", "span", "u", "s", "sub", "sup", "small", "code", "mark", "abbr", "q", "cite", "font", "time", "wbr", "img"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "wbr", "area", "base", "col", "embed", "param", "source", "track"}
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)([^>]*)>|<![^>]*>")
+# A tag ends at the first > outside quotes, or at the first at all where a quote stays open.
+TAG = re.compile(r"""<(/?)([a-zA-Z][\w-]*)((?:"[^"]*"|'[^']*'|[^'">])*+>|[^>]*>)|<![^>]*>""")
 WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+")
 NOTICE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Whole class, id or role names of what is never main text, and elements that no name makes a notice.
@@ -46,7 +47,11 @@ def blocks(page):
         parts, links = [], 0
 
     page, at = RAW.sub(" ", page), 0
-    for m in [*TAG.finditer(page), None]:
+    tags = [*TAG.finditer(page)]
+    # Where an element is closed for the last time; one that is never closed is not skipped, unless its end tag may be left out
+    # or its parent's ends it.
+    closed = {m[2].lower(): m.start() for m in tags if m[1]}
+    for m in [*tags, None]:
         data = page[at : m.start() if m else len(page)]
         if not skipped and data:
             parts.append(data)
@@ -86,7 +91,7 @@ def blocks(page):
         if name not in INLINE:
             close()
             state = bool(re.fullmatch("h[1-6]", name)) and not end
-        if not end and name not in VOID and (name in SKIP and not (name == "header" and article) or name not in MAIN and noticed(m[3])):
+        if not end and name not in VOID and (name in SKIP and not (name == "header" and article) or name not in MAIN and noticed(m[3])) and (name in CLOSED_BY or closed.get(name, -1) > at or around and around[-1] not in MAIN and closed.get(around[-1], -1) > at):
             close()
             skipped.append(name)
             continue
@@ -115,7 +120,8 @@ def main_text(page):
         words = text.lower().split()
         dense = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
         if links > 0.5 * len(text):
-            marks.append(False)
+            # Links in an article are part of it where its other blocks are.
+            marks.append(None if inside else False)
         elif inside or len(text) >= long and (dense >= 0.1 or not fits):
             marks.append(True)
         else:

@@ -46,3 +46,21 @@ def test_without_article_in_other_languages():
         links = "".join(f"<li><a href='/{i}'>{text[:30]}</a></li>" for i in range(8))
         page = f"<html><body><ul>{links}</ul><div><p>{text}</p><p>{text}</p></div><div><a href='/'>{text}</a></div></body></html>"
         assert main_text(page) == f"{text}\n{text}", lang
+
+
+def test_linked_paragraphs_quotes_and_open_elements():
+    linked = '<article><p><a href="x">A linked paragraph of the article</a></p><p>Text.</p></article>'
+    assert main_text(linked) == "A linked paragraph of the article\nText."
+    assert main_text('<article><p title="a > b">One</p><p title="open>Two</p></article>').startswith("One")
+    assert main_text("<article><p>Before.</p><form action=x><p>After.</p><p>End.</p></article>") == "Before.\nAfter.\nEnd."
+    assert main_text("<article><p>Before.</p><form action=x><p>Name</p></form><p>End.</p></article>") == "Before.\nEnd."
+
+
+def test_extract_odd_rows(spark):
+    from rayframe.llm.html import extract
+
+    rows = [(1, "u", None, "x"), (1, "u", None, "x"), (2, None, "", "y"), (None, "v", "<article><p>T" + "e" * 300000 + "</p></article>", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(((r.page_id, r.n_chars) for r in extract(pages).collect()), key=str)
+    assert got == [(1, 0), (1, 0), (2, 0), (None, 300001)]
+    assert extract(pages.where("false")).count() == 0
