@@ -1,9 +1,13 @@
-"""Phantoms, masks, priors and stencils on generated volumes.
+"""Queries on generated volumes; those with an operator of their own run it, and the SQL is the oracle's.
 
 Grids are fixed in size, so the joins of small series below have a bound. Stencils use
 LAG and LEAD along one axis at a time; a missing neighbour is the voxel itself.
 """
-from rayframe.operators.dialect import queries
+from pyspark.sql import functions as F
+
+from rayframe import geometry
+from rayframe.operators import masks, phantoms, prior, regularise
+from rayframe.operators.dialect import SPARK, queries
 
 # x0, y0, z0, semi-axes a, b, c, rotation in degrees, intensity of the nine ellipsoids.
 ELLIPSOIDS = """(0e0, 0e0, 0e0, 0.69e0, 0.92e0, 0.9e0, 0e0, 1e0), (0e0, 0.0184e0, 0e0, 0.6624e0, 0.874e0, 0.88e0, 0e0, -0.8e0),
@@ -67,3 +71,39 @@ _BODIES = {
  SELECT CAST(j AS INT) AS j, CAST(k AS INT) AS k, round(sum(v * w), 6) AS v FROM w GROUP BY 1, 2""",
 }
 QUERIES, SQL = queries(_BODIES)
+
+
+def _vol(spark):
+    """The generated volume as (pix, slice, value)."""
+    return spark.sql((_VOL + "SELECT r * 12 + c AS pix, s AS slice, x AS value FROM vol").format(**SPARK))
+
+
+def _rcs(df, cols=12, name="v", value="value", digits=6):
+    r, c = F.floor(F.col("pix") / cols).cast("int").alias("r"), (F.col("pix") % cols).cast("int").alias("c")
+    return df.select(r, c, F.col("slice").cast("int").alias("s"), (F.round(value, digits) + 0.0).alias(name))
+
+
+def _stitched(spark, d):
+    a = spark.range(20).selectExpr("cast(id div 5 AS int) AS j", "cast(id % 5 AS int) AS k", "cast(id AS double) AS value")
+    b = spark.range(24).selectExpr("cast(id div 6 AS int) AS j", "cast(id % 6 AS int) AS k", "100D + id AS value")
+    return regularise.stitch([a, b], [5, 6], "k", ["j"], 3).select("j", F.col("k").cast("int").alias("k"), F.round("value", 6).alias("v"))
+
+
+def _target(spark):
+    return _vol(spark).withColumn("value", (F.floor(F.col("pix") / 12) + F.col("pix") % 12 + F.col("slice")) % 5 / 5.0)
+
+
+QUERIES |= {
+    "qggmrf_loss": lambda spark, d: prior.loss(_vol(spark), 12, 0.25).select(F.round("loss", 6).alias("loss")),
+    "prox_gradient": lambda spark, d: _rcs(prior.prox_gradient(_vol(spark), _target(spark), 0.5), name="g", value="gradient"),
+    "ror_mask": lambda spark, d: masks.ror(spark, (12, 12, 6)).select(F.col("row").alias("r"), F.col("col").alias("c"), "inside"),
+    "full_indices": lambda spark, d: masks.full_indices(spark, (12, 12, 6)),
+    "partition_sequence": lambda spark, d: spark.createDataFrame(list(enumerate(masks.partition_sequence((2, 4, 6, 7), 10))), "i int, granularity int"),
+    "phantom_cube": lambda spark, d: _rcs(phantoms.cube(spark, (16, 16, 8)), 16),
+    "phantom_shepp_logan": lambda spark, d: _rcs(phantoms.head(spark, (16, 16, 8)), 16),
+    "translation_grid": lambda spark, d: geometry.translation_grid(spark, 4, 4, 3.0, 2.0).select("view", F.col("t_x").alias("tx"), F.col("t_y").alias("ty"), F.col("t_z").alias("tz")),
+    "support_radius": lambda spark, d: spark.createDataFrame([(round(geometry.support_radius((12, 16), 1.5, 1.0, m), 6), m) for m in (True, False)], "radius double, masked boolean"),
+    "stitch_blend": _stitched,
+    "scaling_factor": lambda spark, d: regularise.scaling_factor(_vol(spark).select(F.col("value").alias("v"), ((F.floor(F.col("pix") / 12) + F.col("pix") % 12) % 3).cast("double").alias("t"))).select(F.round("scale", 6).alias("k")),
+    "argmin_3d": lambda spark, d: _vol(spark).agg(F.min(F.struct("value", "pix", "slice")).alias("m")).select(F.floor(F.col("m.pix") / 12).cast("int").alias("r"), (F.col("m.pix") % 12).cast("int").alias("c"), F.col("m.slice").alias("s"), F.round("m.value", 6).alias("v")),
+}
