@@ -8,7 +8,7 @@ import math
 from pyspark.sql import functions as F
 
 from rayframe import geometry
-from rayframe.operators import filters, masks, prior, project, recon, regularise, scans
+from rayframe.operators import denoise, filters, hardening, lines, masks, prior, project, recon, regularise, scans, spectral, views
 from rayframe.sources.tables import table
 
 SIZE, CHANNELS, VIEWS = 16, 20, 6
@@ -232,3 +232,93 @@ SQL |= {
     "pass_stats": _S + "SELECT round((SELECT sqrt(avg(power(value - 0.76e0, 2))) FROM sino), 4) AS loss, round((SELECT sum(abs(value)) FROM vol), 4) AS recon_l1, round((SELECT sqrt(avg(power(value - 0.76e0, 2))) FROM sino), 4) AS rmse",
     "robust_weights": _S + ", z AS (SELECT view, det_row, channel, value - 0.76e0 AS e, 1e0 / sqrt(exp(-value)) AS s FROM sino), k AS (SELECT sqrt(sum(e * e)) / (sqrt(sum(s * s)) + 1e-6) AS k FROM z) SELECT view, det_row, channel, round(CASE WHEN abs(e / (s * k)) <= 1 THEN 1e0 ELSE 0.7e0 / (abs(e / (s * k)) + 1e-6) END, 5) + 0e0 AS v FROM z CROSS JOIN k",
 }
+
+
+# Corrections, sums and choices ------------------------------------------------------
+def _holes(spark, d):
+    return sino(spark, d).withColumn("value", F.when((F.col("view") + F.col("det_row") * 3 + F.col("channel")) % 7 != 0, F.col("value")))
+
+
+def _metal(spark, d):
+    v, c = F.col("value"), F.col("channel")
+    return sino(spark, d).select("view", "det_row", "channel", v.alias("p"), (v * (c % 3)).alias("m1"), (v + 1.0).alias("y"))
+
+
+def _metal_sums(spark, d):
+    p, q = hardening.normal_equations(_metal(spark, d), [(1, 0), (1, 1), (0, 1), (0, 2)], 1)
+    return spark.createDataFrame([(i, j, round(float(p[i, j]), 4)) for i in range(4) for j in range(4)] + [(i, -1, round(float(q[i]), 4)) for i in range(4)], "i int, j int, v double")
+
+
+def _splits(spark, d):
+    counts, _ = regularise.histogram(sino(spark, d), 16)
+    return spark.createDataFrame([tuple(regularise.otsu_splits(counts, 3))], "first int, second int")
+
+
+def _shifts(spark):
+    return spark.range(VIEWS).selectExpr("cast(id AS int) AS view", "id * 0.25D - 0.5D AS d_row", "0.75D - id * 0.5D AS d_channel")
+
+
+def _gram(rows, digits=4):
+    return rows.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), (F.round("value", digits) + 0.0).alias("v"))
+
+
+def _spectra(spark, d):
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("point"), F.posexplode("embedding").alias("band", "value")).withColumn("value", F.col("value").cast("double"))
+    return x.where("band < 16")
+
+
+def _spectral_gram(spark, d):
+    g = spectral.gram(_spectra(spark, d), 16)
+    return spark.createDataFrame([(i, j, round(float(g[i, j]), 4) + 0.0) for i in range(16) for j in range(16)], "i int, j int, v double")
+
+
+_CELL = ("view", "det_row", "channel")
+QUERIES |= {
+    "reference_means": lambda spark, d: _r(scans.mean_scan(sino(spark, d)), "det_row", "channel"),
+    "fill_cells": lambda spark, d: _r(scans.fill_pass(_holes(spark, d)), *_CELL),
+    "fill_zingers": lambda spark, d: _r(scans.fill_zingers(_holes(spark, d), 0.0, 1), *_CELL),
+    "shift_views": lambda spark, d: _r(scans.shift(sino(spark, d), _slices(spark, d), CHANNELS, _shifts(spark)), *_CELL),
+    "hardening_curve": lambda spark, d: _r(sino(spark, d).withColumn("value", hardening.curve(F.col("value"), [0.5, -0.7, -1.0])), *_CELL),
+    "hardening_inverse": lambda spark, d: _r(sino(spark, d).withColumn("value", hardening.inverse(F.col("value"), [0.5, 0.3, 0.1], (0.0, 3.0))), *_CELL),
+    "metal_sums": _metal_sums,
+    "otsu_splits": _splits,
+    "small_stripes": lambda spark, d: _r(lines.remove_small(sino(spark, d), 3), *_CELL),
+    "row_ramp": lambda spark, d: _r(filters.filter_rows(sino(spark, d), CHANNELS), *_CELL),
+    "helical_weights": lambda spark, d: filters.helical_weights(spark, model("helical", _slices(spark, d))).select("slice", F.round("weight", 5).alias("v")),
+    "views_apart": lambda spark, d: _r(project.per_view_back(model("parallel", _slices(spark, d)), sino(spark, d), _pix(spark).where("pix % 5 = 0")), "view", "pix", "slice"),
+    "view_gram": lambda spark, d: _gram(views.gram(sino(spark, d), "view", ("det_row", "channel"))),
+    "strided_voxels": lambda spark, d: denoise.strided(volume(spark, d), SIZE, 2, 3, 4).select("row", "col", "slice", F.round("value", 5).alias("v")),
+    "noise_support": lambda spark, d: denoise.support(volume(spark, d), 0.01).groupBy("inside").agg(F.count("*").alias("n")),
+    "volume_medians": lambda spark, d: denoise.median(project._dense(project.grid(spark, model("parallel", _slices(spark, d))), volume(spark, d), ["pix", "slice"]), (SIZE, SIZE, _slices(spark, d)), 4).select("pix", "slice", *(F.round(c, 5).alias(c) for c in ("median", "lo", "hi"))),
+    "spectral_gram": _spectral_gram,
+    "spectra_expanded": lambda spark, d: spectral.expand(_spectra(spark, d).where("band < 2").select("point", F.col("band").cast("int").alias("component"), F.col("value").alias("weight")), [[1.0, 0.5, 0.25], [0.0, 2.0, -1.0]]).select("point", "band", (F.round("value", 5) + 0.0).alias("v")),
+}
+_M = [("p", 1), ("p * m1", 2), ("m1", 1), ("m1 * m1", 2)]
+_PQ = ", ".join(f"sum(({a}) * ({b})) AS h{i}_{j}" for i, (a, _) in enumerate(_M) for j, (b, _) in enumerate(_M)) + ", " + ", ".join(f"sum(({a}) * y) AS y{i}" for i, (a, _) in enumerate(_M))
+_TRACE = " + ".join(f"h{i}_{i}" for i in range(4))
+_WITHIN = lambda c: f"coalesce(sum(CASE WHEN {c} THEN n * bin * bin END) - power(sum(CASE WHEN {c} THEN n * bin END), 2) / nullif(sum(CASE WHEN {c} THEN n END), 0), 0e0)"
+_HOLES = "sino0 AS (SELECT view, det_row, channel, CASE WHEN (view + det_row * 3 + channel) % 7 <> 0 THEN value END AS value FROM sino)"
+_NEAR9 = "SELECT a.view, a.det_row, a.channel, a.value, avg(b.value) AS m FROM sino0 a JOIN sino0 b ON a.view = b.view AND abs(a.det_row - b.det_row) <= 1 AND abs(a.channel - b.channel) <= 1 GROUP BY 1, 2, 3, 4"
+_BANDS = "(SELECT vec_id AS point, CAST(unnest(range(64)) AS INT) AS band, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
+SQL |= {
+    "reference_means": _S + "SELECT det_row, channel, round(avg(value), 5) + 0e0 AS v FROM sino GROUP BY 1, 2",
+    "fill_cells": _S + f", {_HOLES} SELECT view, det_row, channel, round(coalesce(value, m), 5) + 0e0 AS v FROM ({_NEAR9})",
+    "fill_zingers": _S + f", {_HOLES} SELECT view, det_row, channel, round(coalesce(value, m, 0e0), 5) + 0e0 AS v FROM ({_NEAR9})",
+    "shift_views": _S + ", c AS (SELECT view, det_row, channel, det_row - (view * 0.25e0 - 0.5e0) AS sr, channel - (0.75e0 - view * 0.5e0) AS sc, n FROM sino CROSS JOIN nn), k AS (SELECT * FROM c WHERE sr >= 0 AND sr <= n - 1 AND sc >= 0 AND sc <= 19), t AS (SELECT k.view, k.det_row, k.channel, sum(s.value * (1 - abs(k.sr - s.det_row)) * (1 - abs(k.sc - s.channel))) AS v FROM k JOIN sino s ON s.view = k.view AND abs(k.sr - s.det_row) < 1 AND abs(k.sc - s.channel) < 1 GROUP BY 1, 2, 3) SELECT view, det_row, channel, round(coalesce(v, 0e0), 5) + 0e0 AS v FROM sino LEFT JOIN t USING (view, det_row, channel)",
+    "hardening_curve": _S + "SELECT view, det_row, channel, round(ln(exp(-0.7e0) + exp(-1e0)) - ln(exp(-0.7e0 - 0.5e0 * value) + exp(-1e0 - value)), 5) + 0e0 AS v FROM sino",
+    "hardening_inverse": _S + "SELECT view, det_row, channel, round(0.5e0 + 0.3e0 * t + 0.1e0 * (2 * t * t - 1), 5) + 0e0 AS v FROM (SELECT view, det_row, channel, 2 * value / 3e0 - 1 AS t FROM sino)",
+    "metal_sums": _S + f", m AS (SELECT value AS p, value * (channel % 3) AS m1, value + 1 AS y FROM sino), s AS (SELECT {_PQ} FROM m) "
+    + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(h{i}_{j}{f' + 2e-3 * ({_TRACE}) / 10e0 * {1 + _M[i][1]}' if i == j else ''}, 4) + 0e0 AS v FROM s" for i in range(4) for j in range(4))
+    + "".join(f" UNION ALL SELECT {i}, -1, round(-y{i}, 4) + 0e0 FROM s" for i in range(4)),
+    "otsu_splits": _S + f", b AS (SELECT CAST(least(15, floor((value - lo) / ((hi - lo) / 16))) AS INT) AS bin, count(*) AS n FROM sino CROSS JOIN (SELECT min(value) AS lo, max(value) AS hi FROM sino) GROUP BY 1), k AS (SELECT a.range AS i, c.range AS j FROM range(1, 16) a JOIN range(1, 16) c ON c.range > a.range), w AS (SELECT i, j, {_WITHIN('bin < i')} + {_WITHIN('bin >= i AND bin < j')} + {_WITHIN('bin >= j')} AS x FROM k CROSS JOIN b GROUP BY 1, 2) SELECT CAST(i AS INT) AS first, CAST(j AS INT) AS second FROM w ORDER BY round(x, 6), i, j LIMIT 1",
+    "small_stripes": _S + ", r AS (SELECT *, row_number() OVER (PARTITION BY det_row, channel ORDER BY value, view) AS k FROM sino) SELECT a.view, a.det_row, a.channel, round(median(b.value), 5) + 0e0 AS v FROM r a CROSS JOIN (VALUES (-1), (0), (1)) o(d) JOIN r b ON a.det_row = b.det_row AND a.k = b.k AND b.channel = least(19, greatest(0, a.channel + d)) GROUP BY 1, 2, 3",
+    "row_ramp": _S + f"SELECT a.view, a.det_row, a.channel, round(sum(b.value * {_RAMP}), 5) + 0e0 AS v FROM sino a JOIN sino b ON a.view = b.view AND a.det_row = b.det_row GROUP BY 1, 2, 3",
+    "helical_weights": _S + f", vw AS (SELECT range - 2.5e0 AS p1 FROM range({VIEWS})) SELECT s.slice, round(CASE WHEN count(CASE WHEN abs(s.slice - (n - 1) / 2e0 - p1) <= n / 4e0 THEN 1 END) = 0 THEN 0e0 ELSE {VIEWS}e0 / count(CASE WHEN abs(s.slice - (n - 1) / 2e0 - p1) <= n / 4e0 THEN 1 END) END, 5) AS v FROM (SELECT DISTINCT slice FROM vol) s CROSS JOIN nn CROSS JOIN vw GROUP BY s.slice, n",
+    "views_apart": f"WITH {_ctes('parallel')} SELECT view, pix, det_row AS slice, round(sum(a * value), 5) + 0e0 AS v FROM sino JOIN ht USING (view, channel) WHERE a > 0 AND pix % 5 = 0 GROUP BY 1, 2, 3",
+    "view_gram": _S + "SELECT a.view AS i, b.view AS j, round(sum(a.value * b.value), 4) + 0e0 AS v FROM sino a JOIN sino b ON a.det_row = b.det_row AND a.channel = b.channel AND a.view <= b.view GROUP BY 1, 2",
+    "strided_voxels": _S + f"SELECT CAST(floor(pix / {SIZE}) / 2 AS INT) AS row, CAST((pix % {SIZE}) / 3 AS INT) AS col, CAST(slice / 4 AS INT) AS slice, round(value, 5) AS v FROM vol WHERE floor(pix / {SIZE}) % 2 = 0 AND (pix % {SIZE}) % 3 = 0 AND slice % 4 = 0",
+    "noise_support": _S + "SELECT value >= t AS inside, count(*) AS n FROM vol CROSS JOIN (SELECT least(0.05e0 * avg(abs(value)) + 0.01e0, max(value)) AS t FROM vol) GROUP BY 1",
+    "volume_medians": _S + f", g AS (SELECT CAST(p.range AS INT) AS pix, CAST(s.slice AS INT) AS slice, coalesce(value, 0e0) AS value FROM range({SIZE * SIZE}) p CROSS JOIN (SELECT DISTINCT slice FROM vol) s LEFT JOIN vol ON vol.pix = p.range AND vol.slice = s.slice), k(d) AS (VALUES (-1), (0), (1)) SELECT a.pix, a.slice, round(median(b.value), 5) AS median, round(min(b.value), 5) AS lo, round(max(b.value), 5) AS hi FROM g a CROSS JOIN nn CROSS JOIN k x CROSS JOIN k y CROSS JOIN k z JOIN g b ON b.pix = least({SIZE - 1}, greatest(0, a.pix // {SIZE} + x.d)) * {SIZE} + least({SIZE - 1}, greatest(0, a.pix % {SIZE} + y.d)) AND b.slice = least(n - 1, greatest(0, a.slice + z.d)) GROUP BY 1, 2",
+    "spectral_gram": f"WITH e AS (SELECT * FROM {_BANDS} WHERE band < 16) SELECT a.band AS i, b.band AS j, round(sum(a.value * b.value), 4) + 0e0 AS v FROM e a JOIN e b USING (point) GROUP BY 1, 2",
+    "spectra_expanded": f"WITH e AS (SELECT * FROM {_BANDS} WHERE band < 2) SELECT point, CAST(b.band AS INT) AS band, round(sum(value * h), 5) + 0e0 AS v FROM e JOIN (VALUES (0, 0, 1e0), (0, 1, 0.5e0), (0, 2, 0.25e0), (1, 0, 0e0), (1, 1, 2e0), (1, 2, -1e0)) b(c, band, h) ON e.band = b.c GROUP BY 1, 2",
+}

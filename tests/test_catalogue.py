@@ -8,7 +8,8 @@ from rayframe.plans import catalogue, scanner
 @pytest.mark.parametrize("module", [catalogue, volume, scanner])
 def test_same_rows_as_duckdb(spark, module):
     d, c = "/root/testdata/sf0.01", duckdb.connect()
-    c.sql(f"CREATE VIEW lineitem AS FROM '{d}/lineitem.parquet'")
+    for t in ("lineitem", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS FROM '{d}/{t}.parquet'")
     assert set(module.QUERIES) == set(module.SQL)
     for name, f in module.QUERIES.items():
         df, rel = f(spark, d), c.sql(module.SQL[name])
