@@ -265,3 +265,55 @@ def recon_slabs(spark, model, sino, weights=None, init=None, iterations=15, stop
         return pa.table({"pix": pa.array(np.repeat(np.arange(len(x)), hi - lo), pa.int32()), "slice": pa.array(np.tile(np.arange(lo, hi), len(x)), pa.int32()), "value": own.ravel()})
 
     return rows.groupBy("band").applyInArrow(run, "pix int, slice int, value double")
+
+
+# Metal, and slice-wise damping ---------------------------------------------------------
+def metal_weights(spark, model, sino, volume=None, threshold=None, beta=1.0, gamma=3.0):
+    """exp(-(y / beta) * (1 + gamma * metal)): metal are cells that a volume's voxels over a threshold fall on, or that Otsu finds in the sinogram."""
+    if beta <= 0 or gamma < 0:
+        raise ValueError("beta is over 0 and gamma not under")
+    if volume is None:
+        metal, x = F.col("value") > regularise.otsu(sino, 3)[-1], sino
+    else:
+        cut = regularise.otsu(volume, 3)[-1] if threshold is None else threshold
+        mask = volume.withColumn("value", (F.col("value") > cut).cast("double"))
+        x = sino.join(project.forward_project(spark, model, mask).withColumnRenamed("value", "_m"), CELL)
+        metal = F.col("_m") > 0
+    return x.select(*CELL, F.exp(-(F.col("value") / beta) * (1 + gamma * metal.cast("double"))).alias("value"))
+
+
+def recon_plastic_metal(spark, model, sino, weights=None, passes=3, metals=1, order=3, alpha=1.0, beta=0.002, gamma=0.1, rounds=10, **how):
+    """(volume, traces): a sinogram corrected for hardening by what the last reconstruction shows, and reconstructed again, `passes` times."""
+    from rayframe.operators.hardening import correct_plastic_metal
+
+    if metals < 0:
+        raise ValueError("metals are counted from 0")
+    if metals == 0:
+        return recon(spark, model, sino, weights, **how)
+    volume, traces = filters.recon_direct(spark, model, sino).checkpoint(), []
+    for _ in range(passes):
+        better = correct_plastic_metal(spark, model, sino, volume, metals, order, alpha, beta, gamma, rounds).checkpoint()
+        volume, own = recon(spark, model, better, weights, volume, **how)
+        traces.append(own)
+    return volume, traces
+
+
+def damping_profile(model, a, b, p, c):
+    """One factor a slice: from `a` at the source's plane to `c` far from it, averaged over the views of a helical scan."""
+    n, z = model.params["recon_shape"][2], model.params["recon_slice_offset"]
+    across = model.params["recon_shape"][0] * model.dv
+    out = []
+    for k in range(n):
+        t = [across * abs((k - (n - 1) / 2) * model.dv_slice + z - v[1]) / (model.params["source_iso_dist"] * model.dv_slice) for v in model.views]
+        t = t if len({v[1] for v in model.views}) > 1 else t[:1]
+        out.append(sum((c * x**p + a * b**p) / (x**p + b**p) for x in t) / len(t))
+    return out
+
+
+def damped_direction(steps, profile):
+    """steps (pix, slice, g, h) with d = -(g - (1 - s) * mean) / h, mean a slice's mean of g weighted by 1 / h and s its factor."""
+    spark = steps.sparkSession
+    means = steps.groupBy("slice").agg((F.sum(F.col("g") / F.col("h")) / F.sum(1.0 / F.col("h"))).alias("_mean"))
+    factors = spark.createDataFrame([(k, float(s)) for k, s in enumerate(profile)], "slice int, _s double")
+    x = steps.join(means.join(factors, "slice"), "slice")
+    return x.withColumn("d", -(F.col("g") - (1.0 - F.col("_s")) * F.col("_mean")) / F.col("h")).drop("_mean", "_s")

@@ -96,3 +96,19 @@ def test_phantoms(spark):
     assert phantoms.classic_head(spark, (17, 17, 9)).agg(F.max("value")).first()[0] == 2.0
     x, y, m = phantoms.demo(spark, "cone", 6, 8, 10, "cube")
     assert x.count() == math.prod(m.params["recon_shape"]) and y.count() == 6 * 8 * 10
+
+
+def test_damped_direction_and_metal_weights(spark):
+    m = model("cone", 3)
+    s = recon.damping_profile(m, 0.2, 1.0, 2.0, 1.0)
+    assert len(s) == 3 and abs(s[1] - 0.2) < 1e-9 and s[0] == s[2] > 0.2
+    rows = [(p, k, float(p - k), 1.0 + p) for p in range(4) for k in range(3)]
+    got = {(r.pix, r.slice): r.d for r in recon.damped_direction(spark.createDataFrame(rows, "pix int, slice int, g double, h double"), s).collect()}
+    for k in range(3):
+        g, h = np.array([[r[2], r[3]] for r in rows if r[1] == k]).T
+        want = -(g - (1 - s[k]) * (g / h).sum() / (1 / h).sum()) / h
+        assert np.allclose([got[p, k] for p in range(4)], want)
+    y = noise(project.sino_grid(spark, m), ["view", "det_row", "channel"], 5)
+    v = project.constant_volume(spark, m, 0.0).withColumn("value", F.when((F.col("pix") == 120) & (F.col("slice") == 1), 9.0).otherwise(0.1))
+    w = recon.metal_weights(spark, m, y, v, 1.0).join(y.withColumnRenamed("value", "y"), recon.CELL).collect()
+    assert {round(-math.log(r.value) / r.y, 6) for r in w if abs(r.y) > 0.01} == {1.0, 4.0}
