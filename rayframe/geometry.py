@@ -45,6 +45,7 @@ class Model:
     kind = None
     view_names = ()
     extra = {}
+    damping = None
 
     def __post_init__(self):
         self.sinogram_shape = tuple(int(n) for n in self.sinogram_shape)
@@ -201,6 +202,9 @@ class Cone(Model):
 
     kind, view_names, extra = "cone", ("angle", "z_shift"), CONE_DEFAULTS | {"source_detector_dist": None, "source_iso_dist": None}
 
+    # How a cone's update steps are damped slice by slice.
+    damping = (0.25, 100.0, 0.7, 0.5)
+
     def __post_init__(self):
         self.views = [(v, 0.0) if not isinstance(v, (tuple, list)) else tuple(v) for v in self.views]
         super().__post_init__()

@@ -55,6 +55,9 @@ def direction(model, volume, errors, hessian, pix, prox_input=None):
     b = project.back(model, errors.select(*CELL, (F.col("value") * F.col("weight")).alias("value")), pix).withColumnRenamed("value", "_b")
     x = x.join(pix, "pix", "left_semi").join(b, VOXEL, "left").join(hessian.withColumnRenamed("value", "_h"), VOXEL)
     g, h = -fm * F.coalesce("_b", F.lit(0.0)) + F.col("gradient"), fm * F.col("_h") + F.col("hessian")
+    if model.kind == "cone" and model.damping:
+        damped = damped_direction(x.select(*VOXEL, "value", "gradient", "hessian", g.alias("g"), h.alias("h")), damping_profile(model, *model.damping))
+        return damped.select(*VOXEL, "value", F.col("gradient").alias("g"), F.col("hessian").alias("h"), "d")
     return x.select(*VOXEL, "value", F.col("gradient").alias("g"), F.col("hessian").alias("h"), F.coalesce(F.try_divide(-g, h), F.lit(0.0)).alias("d"))
 
 

@@ -112,3 +112,11 @@ def test_damped_direction_and_metal_weights(spark):
     v = project.constant_volume(spark, m, 0.0).withColumn("value", F.when((F.col("pix") == 120) & (F.col("slice") == 1), 9.0).otherwise(0.1))
     w = recon.metal_weights(spark, m, y, v, 1.0).join(y.withColumnRenamed("value", "y"), recon.CELL).collect()
     assert {round(-math.log(r.value) / r.y, 6) for r in w if abs(r.y) > 0.01} == {1.0, 4.0}
+
+
+def test_cone_iterations_converge(spark):
+    arrays.shared_folder(spark)
+    m = geometry.make("cone", (10, 6, 12), [2 * math.pi * i / 10 for i in range(10)], 48.0, 24.0)
+    x = masks.cylinder(project.constant_volume(spark, m, 1.0), m.params["recon_shape"], 2)
+    got, traces = recon.recon(spark, m, project.forward_project(spark, m, x), iterations=2, subsets=(2,), stop_pct=0.0)
+    assert traces[1]["fm_rmse"] < traces[0]["fm_rmse"] and got.count() == math.prod(m.params["recon_shape"])
