@@ -1,3 +1,5 @@
+import numpy as np
+
 from rayframe.llm import langid, quality, toxicity
 
 
@@ -74,3 +76,51 @@ def test_toxicity_copies():
     assert toxicity.copies(apart) == list(range(60))
     near = apart[0] - {"w1"} | {"new"}
     assert toxicity.copies([*apart, near, apart[7]])[60:] == [0, 7]
+
+
+def test_language_scores_same_as_plain_sums(tables):
+    """The scores of a fitted model, recomputed gram by gram with dicts."""
+    import math
+    import re
+
+    from rayframe.llm import langid
+
+    docs = tables("documents").where("lang is not null").limit(300).toPandas()
+    names, w, idf, temperature = langid.fit(list(docs.text), list(docs.lang))
+    for text in docs.text[:20]:
+        t = re.sub(r"[^\w]+|[\d_]+", " ", f" {text.lower()} ")
+        t = re.sub(" +", " ", t)
+        n = {}
+        for size in (1, 2, 3):
+            for i in range(len(t) - size + 1):
+                h = 0
+                for k, c in enumerate(t[i : i + size], 1):
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c) + k) % 2**64
+                h = ((h ^ h >> 31) * 0xBF58476D1CE4E5B9) % 2**64 >> 64 - langid.BITS
+                n[h] = n.get(h, 0) + 1
+        ids, x = langid.tfidf(text, idf)
+        if dict(zip(ids.tolist(), langid.counts(text)[1].tolist())) != n:
+            continue  # marks and letters of other scripts are told apart by the operator only
+        y = {h: math.log1p(c) * idf[h] for h, c in n.items()}
+        norm = math.sqrt(sum(v * v for v in y.values()))
+        want = [sum(v / norm * w[h][k] for h, v in y.items()) for k in range(len(names))]
+        assert np.allclose(x @ w[ids], want)
+
+
+def test_quality_scores_same_as_log_densities():
+    from rayframe.llm.quality import RIDGE, SHRINK, Discriminant
+
+    r = np.random.default_rng(3)
+    x = np.r_[r.normal(0, 1, (80, 4)), r.normal(0.7, 2, (50, 4))]
+    y = np.r_[np.zeros(80, int), np.ones(50, int)]
+    m = Discriminant(x, list(y))
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = own[0] * 80 / 130 + own[1] * 50 / 130
+    density = []
+    for k in (0, 1):
+        c = (1 - SHRINK) * own[k] + SHRINK * (pooled + np.diag(np.diag(pooled))) / 2 + RIDGE * np.eye(4)
+        d = z - z[y == k].mean(0)
+        density.append(-np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) / 2 - np.linalg.slogdet(c)[1] / 2)
+    odds = (density[1] - density[0] + np.log(50 / 80)) / m.t
+    assert np.allclose(m.scores(x), 1 / (1 + np.exp(-odds)))
