@@ -128,3 +128,79 @@ def remove_dead(sino, snr=3.0, size=61):
 def remove_all(sino, snr=3.0, large_size=61, small_size=21):
     """Dead and fluctuating channels, large stripes, then small ones, for each detector row."""
     return _planes(sino, lambda x: small(dead(x, snr, large_size), small_size))
+
+
+# The low-pass decomposition taps of the db5 wavelet.
+DB5 = [
+    0.0033357252854737712, -0.012580751999081999, -0.006241490212798274, 0.07757149384004572, -0.032244869584638375,
+    -0.24229488706638203, 0.13842814590132074, 0.7243085284377729, 0.6038292697971896, 0.16010239797419293,
+]
+
+
+def _bank():
+    """(low, high) of the decomposition; the reconstruction's are the same backwards."""
+    import numpy as np
+
+    low = np.array(DB5)
+    high = low[::-1] * np.where(np.arange(len(low)) % 2, 1.0, -1.0)
+    return low, high
+
+
+def split(x, axis):
+    """(smooth, detail) halves along an axis; edges mirrored with the edge value."""
+    import numpy as np
+
+    n, taps = x.shape[axis], len(DB5)
+    y = _mirrored(x, taps - 1, taps - 1, axis) if n >= taps - 1 else np.take(x, _mirror(np.arange(1 - taps, n + taps - 1), n), axis)
+    w = np.lib.stride_tricks.sliding_window_view(y, taps, axis)
+    w = np.take(w, np.arange(1, n + taps - 1, 2), axis)
+    return tuple(w @ f[::-1] for f in _bank())
+
+
+def _mirror(i, n):
+    import numpy as np
+
+    i = np.mod(i, 2 * n)
+    return np.where(i < n, i, 2 * n - 1 - i)
+
+
+def joined(smooth, detail, axis):
+    """The array of two halves."""
+    import numpy as np
+
+    taps, n, out = len(DB5), smooth.shape[axis], 0.0
+    for half, f in zip((smooth, detail), _bank()):
+        shape = list(half.shape)
+        shape[axis] = 2 * n + 1
+        up = np.zeros(shape)
+        up[tuple(slice(1, None, 2) if a == axis else slice(None) for a in range(up.ndim))] = half
+        out = out + np.lib.stride_tricks.sliding_window_view(up, taps, axis) @ f
+    return out
+
+
+def damped_bands(x, sigma=2.0):
+    """A (views, channels) plane whose vertical bands are damped on every level of its wavelet transform."""
+    import numpy as np
+
+    views, channels = x.shape
+    levels, shift = int(np.ceil(np.log2(max(x.shape)))), views // 16
+    y = np.zeros((views + views // 8, channels))
+    y[shift : shift + views] = x
+    details = []
+    for _ in range(levels):
+        a, d = split(y, 0)
+        (y, upright), (level, both) = split(a, 1), split(d, 1)
+        f = np.fft.fftshift(np.fft.fft(upright, axis=0), axes=0)
+        m = len(f)
+        at = (np.arange(-m, m, 2) + 1) / 2
+        f *= -np.expm1(-(at**2) / (2 * sigma**2))[:, None]
+        details.append((level, np.real(np.fft.ifft(np.fft.ifftshift(f, axes=0), axis=0)), both))
+    for level, upright, both in reversed(details):
+        y = y[: level.shape[0], : level.shape[1]]
+        y = joined(joined(y, upright, 1), joined(level, both, 1), 0)
+    return y[shift : shift + views, :channels]
+
+
+def remove_bands(sino, sigma=2.0):
+    """Vertical bands damped by wavelets and Fourier transforms, for each detector row."""
+    return _planes(sino, lambda x: damped_bands(x, sigma))

@@ -171,3 +171,16 @@ def test_moves(spark):
     got = scans.view_offsets(scans.shift_padded(cells(spark, x), 24, 30, half), cells(spark, x)).first()
     assert abs(got.d_row + 0.5) < 0.1 and abs(got.d_channel - 0.5) < 0.1
     assert np.allclose(array(scans.rotate(cells(spark, x), 24, 30, 0.0), x.shape), x)
+
+
+def test_wavelet_bands(spark):
+    r = np.random.default_rng(6)
+    for n in (16, 17, 5):
+        x = r.random((n, 12))
+        for axis in (0, 1):
+            assert np.allclose(lines.joined(*lines.split(x, axis), axis)[:n, :12], x)
+    smooth = np.sin(np.arange(64) / 9)[:, None] * np.cos(np.arange(48) / 7)[None]
+    striped = smooth + 0.3 * (np.arange(48) % 11 == 5)[None]
+    got = array(lines.remove_bands(cells(spark, striped[:, None, :]), 2.0), (64, 1, 48))[:, 0]
+    lift = lambda x, c: (x[:, c] - (x[:, c - 1] + x[:, c + 1]) / 2).mean()
+    assert all(abs(lift(got, c) - lift(smooth, c)) < 0.1 for c in (5, 16, 27, 38)) and lift(striped, 16) > 0.25
