@@ -221,3 +221,18 @@ def correct_plastic_metal(spark, model, sino, volume, metals=1, order=3, alpha=1
     scale = regularise.scaling_factor(pair).first().scale or 0.0
     total = scale * F.col("plastic") + sum((F.col(f"m{k + 1}") * tops[f"m{k + 1}"] for k in range(metals)), F.lit(0.0))
     return x.select(*keys, total.alias("value"))
+
+
+def linearisation(alpha, density1, density2, order=8, thickest=30.25, step=0.25):
+    """Coefficients, highest power first, that make the projection through two mixed materials linear in thickness."""
+    import numpy as np
+
+    t = np.arange(0, thickest, step)
+    seen = density2 * t + np.log((1 + alpha) / (1 + alpha * np.exp((density2 - density1) * t)))
+    mean = (alpha * density1 + density2) / (1 + alpha)
+    return np.polyfit(np.r_[0, seen], np.r_[0, mean * t], order)
+
+
+def linearised(sino, alpha, density1, density2, thickest):
+    """sino after that polynomial."""
+    return sino.withColumn("value", evaluate(F.col("value"), linearisation(alpha, density1, density2, thickest=thickest)))

@@ -109,3 +109,27 @@ def expand(weights, basis, bands=None, transmission=False):
 def smooth(data, bands, components, **how):
     """Data without what few components can't hold."""
     return expand(*compress(data, bands, components, **how))
+
+
+def simulate(spark, spectra, angles=1, rows=64, cols=64, dose=300.0, density=(0.2, 0.2, 1.0), seed=0):
+    """((point, band, value) with counting noise, the same without): three rods of three materials, one below the other."""
+    import math
+
+    if len(spectra) != 3 or rows < 3 or cols < 2 or dose <= 0 or min(min(s) for s in spectra) < 0:
+        raise ValueError("three spectra, none negative, three rows, two columns and a dose over 0")
+    high, wide = rows // 3, cols // 2
+    i = F.col("id")
+    r, c = F.floor(i / cols) % rows, i % cols
+    at = (c - wide // 2).cast("double")
+    # The rods' depth along a row of `wide` columns.
+    place = -(wide // 2) + at * ((wide // 2) * 2 / max(1, wide - 1) if wide % 2 == 0 else (wide - 1) / max(1, wide - 1))
+    depth = 20 * F.sqrt(F.greatest(F.lit(0.0), F.lit(float((wide // 2) ** 2)) - place * place)) / wide
+    inside = (at >= 0) & (at < wide)
+    rod = F.when(r < high, 0).when((r >= 2 * high), 1).otherwise(2)
+    x = spark.range(angles * rows * cols).select(i.alias("point"), rod.alias("m"), F.when(inside, depth).otherwise(0.0).alias("d"))
+    table = F.lit([[float(d * v) for v in s] for d, s in zip(density, spectra)])
+    x = x.select("point", F.posexplode(F.transform(F.element_at(table, F.col("m") + 1), lambda a: a * F.col("d"))).alias("band", "value"))
+    # Sums of many counts are near normal; few ones come from the logarithms of uniform numbers.
+    normal = lambda mean, s: F.greatest(F.lit(0.0), F.rint(mean + F.sqrt(mean) * F.randn(seed + s)))
+    ratio = normal(dose * F.exp(-F.col("value")), 1) / F.greatest(F.lit(1.0), normal(F.lit(float(dose)), 2))
+    return x.withColumn("value", -F.ln(F.greatest(F.lit(1e-8), ratio))), x

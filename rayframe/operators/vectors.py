@@ -71,3 +71,24 @@ def auto_crop(sino, required, optional, buffer=20):
     x = sino.where((F.col("det_row") >= t) & (F.col("det_row") < rows - b) & (F.col("channel") >= l) & (F.col("channel") < channels - r))
     x = x.withColumn("det_row", F.col("det_row") - t).withColumn("channel", F.col("channel") - l)
     return (x, *detector_crop(required, optional, t, b, l, r))
+
+
+def translations(positions):
+    """(view, t_x, t_y, t_z): how far each of the object's places (x, y, z) lies from the middle of all."""
+    from pyspark.sql import functions as F
+
+    r = positions.agg(*(((F.max(c) + F.min(c)) / 2).alias(c) for c in "xyz")).first()
+    return positions.select("view", *((F.lit(float(r[c])) - F.col(c)).alias(f"t_{c}") for c in "xyz"))
+
+
+def shadow_weights(blank, views, share=0.6, buffer=20):
+    """(view, det_row, channel, value): 0 where the blank scan is dark, and near there (in steps along rows and channels); else 1. Dark cells are few, and each marks a diamond."""
+    from pyspark.sql import functions as F
+
+    middle = blank.agg(F.median("value")).first()[0]
+    dark = blank.where(F.col("value") < share * middle)
+    steps = F.explode(F.sequence(F.lit(-buffer), F.lit(buffer)))
+    near = dark.select("det_row", "channel", steps.alias("_a")).withColumn("_b", F.explode(F.sequence(F.abs("_a") - buffer, buffer - F.abs("_a"))))
+    near = near.select((F.col("det_row") + F.col("_a")).alias("det_row"), (F.col("channel") + F.col("_b")).alias("channel"), F.lit(0.0).alias("_z")).distinct()
+    flat = blank.select("det_row", "channel").join(near, ["det_row", "channel"], "left").select("det_row", "channel", F.coalesce("_z", F.lit(1.0)).alias("value"))
+    return flat.withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(views - 1)))).select("view", "det_row", "channel", "value")

@@ -83,3 +83,22 @@ def test_scanner_vectors(spark):
     y, required, optional = vectors.auto_crop(s, {"sinogram_shape": (6, 40, 36)}, {"det_row_offset": 0.0}, 4)
     assert required["sinogram_shape"] == (6, 30, 30) and optional["det_row_offset"] == 0.0 and y.count() == 6 * 30 * 30
     assert project.at_pixels(volume(spark, np.ones((2, 2, 2))), spark.range(1).select(F.col("id").cast("int").alias("pix"))).count() == 2
+
+
+def test_small_rules(spark):
+    from rayframe.operators import hardening
+
+    c = hardening.linearisation(0.4, 0.2, 0.5)
+    t = np.arange(0, 30.25, 0.25)
+    seen = 0.5 * t + np.log(1.4 / (1 + 0.4 * np.exp(0.3 * t)))
+    df = spark.createDataFrame([(float(v),) for v in seen], "value double")
+    got = [r[0] for r in hardening.linearised(df, 0.4, 0.2, 0.5, 30.25).collect()]
+    assert np.abs(np.array(got) - (0.4 * 0.2 + 0.5) / 1.4 * t).max() < 0.05 and np.allclose(got, np.polyval(c, seen))
+    p = spark.createDataFrame([(0, 1.0, 0.0, 5.0), (1, 3.0, 0.0, 9.0)], "view int, x double, y double, z double")
+    assert sorted(tuple(r) for r in vectors.translations(p).collect()) == [(0, 1.0, 0.0, 2.0), (1, -1.0, 0.0, -2.0)]
+    blank = spark.createDataFrame([(i, j, 0.1 if (i, j) == (4, 4) else 1.0) for i in range(9) for j in range(9)], "det_row int, channel int, value double")
+    w = {(r.det_row, r.channel): r.value for r in vectors.shadow_weights(blank, 1, buffer=2).collect()}
+    assert all(w[i, j] == (0.0 if abs(i - 4) + abs(j - 4) <= 2 else 1.0) for i in range(9) for j in range(9))
+    noisy, clean = spectral.simulate(spark, [[0.1, 0.2], [0.3, 0.1], [0.05, 0.4]], 1, 12, 16, 10_000.0)
+    a = noisy.join(clean.withColumnRenamed("value", "w"), ["point", "band"]).agg(F.avg(F.abs(F.col("value") - F.col("w"))), F.max("w")).first()
+    assert a[0] < 0.05 and a[1] > 0.3
