@@ -4,7 +4,8 @@ Class covariances shrink towards the pooled one and its diagonal; a score is the
 logistic of the difference of Mahalanobis log densities from cached Cholesky factors,
 scaled by a fitted temperature. Fitted on at most SAMPLE labelled rows; with fewer than
 two classes every score is the known class's share (0.5 without labels). Null counts
-as empty text.
+as empty text. A score of 0.5 counts as 1, and of equally good temperatures the least
+stands. Rows are judged one by one, so repeated rows and null ids change nothing.
 """
 from rayframe.llm.common import held_out, sample_labelled, small_batches
 
