@@ -2,20 +2,21 @@
 
 Word 1- to 3-grams, hashed, feed a multinomial logistic regression over licence families
 and `none`; it learns from sentences that a small grammar makes around each template
-and from at most SAMPLE ordinary documents' paragraphs. A family stands only if its
-probability reaches a cut calibrated on held-back ordinary paragraphs and a template
+and from paragraphs (20 * SAMPLE at most, by hash) of at most SAMPLE ordinary documents. A family stands only if its
+probability reaches a cut that a PASSED share of held-back ordinary paragraphs stay under, and a template
 of the family shares enough words in order with the paragraph; the rest are `unknown`
 where the classifier sees a licence, else none. Paragraphs are lines; null, empty and
 blank ones have no licence. A line is judged as a whole and by each stretch of it that
 a template resembles or that surrounds a licence word, so a notice in a long line is not
-outvoted; a line can hold several families. Without such a stretch no verdict is possible.
+outvoted; a line can hold several families. Rows are judged one by one, so repeated rows
+and null ids change nothing; of equally likely families the first in order stands. Without such a stretch no verdict is possible.
 """
 import bisect
 import re
 
 from rayframe.llm.common import sample, small_batches
 
-SAMPLE, BITS, EPOCHS, OVERLAP, AROUND = 400, 15, 6, 0.6, 8
+SAMPLE, BITS, EPOCHS, OVERLAP, AROUND, PASSED = 400, 15, 6, 0.6, 8, 0.999
 # Families and their common short notices.
 TEMPLATES = {
     "apache": ["licensed under the apache license version 2.0", "released under the apache license"],
@@ -113,8 +114,8 @@ class Model:
                 d = p / len(f) ** 0.5
                 g2[f] += d * d
                 self.w[f] -= 0.3 * d / np.sqrt(g2[f])
-        self.cut = max(0.5, max((1 - self._soft(f)[0] for f, _ in plain[1::2]), default=0))
-        self.cut = min(self.cut, 0.95)
+        held_back = [1 - self._soft(f)[0] for f, _ in plain[1::2]]
+        self.cut = max(0.5, float(np.quantile(held_back, PASSED))) if held_back else 0.5
 
     def _soft(self, f):
         import numpy as np
@@ -170,7 +171,10 @@ class Model:
 
 def train(docs, bound=SAMPLE):
     s = sample(docs.where("length(text) > 0"), bound, "text")
-    return Model([p for t in s.text for p in t.split("\n")][: 20 * bound])
+    import zlib
+
+    paragraphs = sorted((p for t in s.text for p in t.split("\n")), key=lambda p: (zlib.crc32(p.encode("utf-8", "replace")), p))
+    return Model(paragraphs[: 20 * bound])
 
 
 def scan(docs, model):
