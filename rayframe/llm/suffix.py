@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from rayframe.llm.common import Tables, ready
 
-LENGTH, GRAM, CUT, BLOCK, HOT, PART = 50, 20, 64, 1 << 16, 4096, 1 << 17
+LENGTH, GRAM, CUT, BLOCK, HOT, PART, MANY, DEEP = 50, 20, 64, 1 << 16, 4096, 1 << 17, 8192, 16
 BASE = 0x9E3779B97F4A7C15
 RUN = "k long, doc_id long, th long, at long, n int, s binary"
 _POWERS = []
@@ -90,7 +90,9 @@ def suffix_rows(codes):
         key = key << 9 | padded[i : i + n]
     while True:
         order = np.argsort(key)
-        ranks = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]])
+        key = key[order]
+        ranks = np.zeros(n, "i8")
+        np.cumsum(key[1:] != key[:-1], out=ranks[1:])
         if step >= LENGTH or ranks[-1] == n - 1:
             return order
         rank = np.zeros(n + step, "i8")
@@ -99,6 +101,36 @@ def suffix_rows(codes):
         step *= 2
 
 
+def _expanded(by_char, first):
+    """Where the intervals of length LENGTH begin, by that many rounds of backward extension.
+
+    An interval's name is the count of beginnings up to its rows. Rows lie in DEEP lines of
+    a table, column by column, so that a count is few additions of whole lines.
+    """
+    import numpy as np
+
+    n = len(by_char)
+    wide = -(-n // DEEP)
+    at = lambda r: r % DEEP * wide + r // DEEP
+    rows = np.arange(DEEP * wide)
+    place = at(rows)
+    to, start = np.empty(DEEP * wide, "i8"), np.ones(DEEP * wide, bool)
+    to[place[:n]], start[place[:n]] = place[by_char], first
+    to[place[n:]] = place[n:]
+    start, edge = start.reshape(DEEP, wide), np.zeros((DEEP, wide), bool)
+    count, before = np.empty((DEEP, wide), "i4"), np.empty((DEEP, wide), "i4")
+    for _ in range(LENGTH):
+        count[0] = edge[0]
+        for i in range(1, DEEP):
+            np.add(count[i - 1], edge[i], out=count[i])
+        count += np.r_[0, np.cumsum(count[-1, :-1], dtype="i4")].astype("i4")
+        np.take(count.ravel(), to, out=before.ravel(), mode="clip")
+        np.not_equal(before[1:], before[:-1], out=edge[1:])
+        np.not_equal(before[0, 1:], before[-1, :-1], out=edge[0, 1:])
+        np.logical_or(edge, start, out=edge)
+    return edge.ravel()[place[:n]]
+
+
 def least_holder(strings, docs):
     """The least doc of every window's interval, for all strings one after the other."""
     import numpy as np
@@ -115,12 +147,7 @@ def least_holder(strings, docs):
     first = np.r_[True, bwt[by_char][1:] != bwt[by_char][:-1]]
     # No interval reaches over the end of a string: each end is an interval of its own.
     first[: len(strings)] = True
-    edge, count, before = np.zeros(len(sa), bool), np.empty(len(sa), "i4"), np.empty(len(sa), "i4")
-    for _ in range(LENGTH):
-        np.cumsum(edge, dtype="i4", out=count)
-        np.take(count, by_char, out=before, mode="clip")
-        np.not_equal(before[1:], before[:-1], out=edge[1:])
-        np.logical_or(edge, first, out=edge)
+    edge = _expanded(by_char, first)
     left = np.repeat(ends, lens + 1) - np.arange(len(text))
     owner = np.where(left >= LENGTH, np.repeat(docs, lens + 1), np.iinfo("i8").max)[sa]
     least = np.minimum.reduceat(owner, np.flatnonzero(edge))[np.cumsum(edge) - 1]
@@ -156,20 +183,36 @@ def _runs(batches):
     import numpy as np
     import pyarrow as pa
 
+    names = [x.split()[0] for x in RUN.split(", ")]
+
+    def table(found, texts):
+        k, at, n = (np.concatenate([f[i] for f in found]) for i in (2, 3, 4))
+        each = [len(f[2]) for f in found]
+        ids, ths = (np.repeat(np.array([f[i] for f in found], "i8"), each) for i in (0, 1))
+        size, data = n + LENGTH - 1, np.frombuffer(b"".join(texts), "u1")
+        first = np.repeat(np.cumsum([0] + [len(t) for t in texts[:-1]]), each) + at
+        offsets = np.r_[0, np.cumsum(size)]
+        flat = data[np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])]
+        s = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype("i4")), pa.py_buffer(flat)])
+        return pa.RecordBatch.from_arrays([pa.array(k.view("i8")), pa.array(ids), pa.array(ths), pa.array(at), pa.array(n.astype("i4")), s], names)
+
     for b in batches:
+        found, texts, rows = [], [], 0
         for d, th, t, ks in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
             data = _bytes(t)
             k, at, n = keyed_runs(data)
             keep = np.isin(k.view("i8"), np.asarray(ks.values))
-            k, at, n = k[keep].view("i8"), at[keep], n[keep]
-            for i in range(0, len(k), 4096):
-                part = slice(i, i + 4096)
-                size = n[part] + LENGTH - 1
-                offsets = np.r_[0, np.cumsum(size)]
-                flat = np.frombuffer(data, "u1")[np.repeat(at[part] - offsets[:-1], size) + np.arange(offsets[-1])]
-                s = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype("i4")), pa.py_buffer(flat)])
-                one = np.ones(len(size), "i8")
-                yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(one * d), pa.array(one * th), pa.array(at[part]), pa.array(n[part].astype("i4")), s], [x.split()[0] for x in RUN.split(", ")])
+            k, at, n = k[keep], at[keep], n[keep]
+            # A part of a text's runs at a time, so that a batch stays small beside very long texts.
+            for i in range(0, len(k), MANY):
+                found.append((d, th, k[i : i + MANY], at[i : i + MANY], n[i : i + MANY]))
+                texts.append(data)
+                rows += len(found[-1][2])
+                if rows >= MANY:
+                    yield table(found, texts)
+                    found, texts, rows = [], [], 0
+        if rows:
+            yield table(found, texts)
 
 
 def _solve(batches):
@@ -261,7 +304,7 @@ def repeats(docs):
         back = back.groupBy(F.col("run_k").alias("k"), F.col("run_h").alias("h")).agg(F.collect_list(F.struct("j", F.lit(1).alias("n"), "m")).alias("parts"))
         least = least.unionByName(back)
     # 4. Back to the documents.
-    hit = found.select("doc_id", "th", "at", "k", "h").join(tables.save(least, "least").hint("shuffle_hash"), ["k", "h"])
+    hit = found.select("doc_id", "th", "at", "k", "h").join(least.hint("shuffle_hash"), ["k", "h"])
     hit = hit.select("doc_id", "th", F.transform(F.filter("parts", lambda p: p.m < F.col("doc_id")), lambda p: F.struct((F.col("at") + p.j).alias("at"), p.n.alias("n"))).alias("run")).where(F.size("run") > 0)
     out = hit.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
     out = out.select("doc_id", "th", F.lit(False).alias("whole"), "runs").union(copies.select("doc_id", "th", F.lit(True), F.expr("cast(null AS array<array<struct<at:bigint,n:int>>>)")))
