@@ -21,7 +21,7 @@ from array import array
 
 from rayframe.llm.common import small_batches
 
-KEPT = 250_000  # first moves kept for good, later moves, and entries of a generation of pieces or pairs
+KEPT, PIECES = 120_000, 200_000  # first moves kept for good, later moves and entries of a generation of pairs; the same of pieces
 FOREVER = 1 << 60
 
 
@@ -31,14 +31,14 @@ def load_ranks(path):
 
 
 class Kept(dict):
-    """A dict of at most two generations of KEPT entries."""
+    """A dict of at most two generations of entries."""
 
-    def __init__(self):
+    def __init__(self, most):
         super().__init__()
-        self.old = {}
+        self.old, self.most = {}, most
 
     def keep(self, key, value):
-        if len(self) >= KEPT:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -66,7 +66,7 @@ class Transducer:
                 at = to
             self.token[at] = rank
         self.bytes = {v: k for k, v in ranks.items()}
-        self.trees, self.pairs, self.pieces = {}, Kept(), Kept()
+        self.trees, self.pairs, self.pieces = {}, Kept(KEPT), Kept(PIECES)
         first = ((0, -1, ()),)
         self.states, self.numbers, self.moves = [first], {first: 0}, {}
         self.firm, self.young = None, []
@@ -199,14 +199,15 @@ class Transducer:
         return tuple(ids)
 
     def encode(self, text, pattern):
+        """Ids of a text; a known piece's are kept as bytes."""
         ids, get, pieces = array("I"), self.pieces.get, self.pieces
         for piece in pattern.findall(text):
             got = get(piece)
             if got is None:
                 got = pieces.find(piece)
                 if got is None:
-                    got = pieces.keep(piece, self.encode_piece(piece.encode()))
-            ids.extend(got)
+                    got = pieces.keep(piece, array("I", self.encode_piece(piece.encode())).tobytes())
+            ids.frombytes(got)
         return ids
 
 
