@@ -56,11 +56,13 @@ def box_sum(sino):
 
 
 def fill_pass(sino):
-    """NULL cells become the mean of their 3 x 3 box's other cells, where there is one."""
-    along = Window.partitionBy("view", "det_row").orderBy("channel").rowsBetween(-1, 1)
-    down = Window.partitionBy("view", "channel").orderBy("det_row").rowsBetween(-1, 1)
-    x = sino.withColumn("_s", F.sum(F.coalesce("value", F.lit(0.0))).over(down)).withColumn("_n", F.count("value").over(down))
-    return x.select(*CELL, F.coalesce("value", F.try_divide(F.sum("_s").over(along), F.sum("_n").over(along))).alias("value"))
+    """NULL cells become the mean of their 3 x 3 box's other cells, where there is one; cells may be missing."""
+    holes = sino.where("value is null").select(*CELL).distinct()
+    step = lambda: F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    near = holes.withColumn("_r", step()).select("*", step().alias("_c"))
+    near = near.select(*(F.col(k).alias(f"_{k}") for k in CELL), "view", (F.col("det_row") + F.col("_r")).alias("det_row"), (F.col("channel") + F.col("_c")).alias("channel"))
+    means = near.join(sino.where("value is not null"), CELL).groupBy(*(F.col(f"_{k}").alias(k) for k in CELL)).agg(F.avg("value").alias("_m"))
+    return sino.join(means, CELL, "left").select(*CELL, F.coalesce("value", "_m").alias("value"))
 
 
 def fill(sino, passes=3):

@@ -184,3 +184,9 @@ def test_wavelet_bands(spark):
     got = array(lines.remove_bands(cells(spark, striped[:, None, :]), 2.0), (64, 1, 48))[:, 0]
     lift = lambda x, c: (x[:, c] - (x[:, c - 1] + x[:, c + 1]) / 2).mean()
     assert all(abs(lift(got, c) - lift(smooth, c)) < 0.1 for c in (5, 16, 27, 38)) and lift(striped, 16) > 0.25
+
+
+def test_fill_beside_missing_cells(spark):
+    at = {(0, 0, 0): 1.0, (0, 0, 3): 7.0, (0, 1, 1): None, (0, 2, 2): 4.0, (0, 5, 1): None, (0, 3, 1): 9.0, (1, 1, 2): 5.0}
+    got = scans.fill_pass(spark.createDataFrame([(*k, v) for k, v in at.items()], "view int, det_row int, channel int, value double")).collect()
+    assert {(x.view, x.det_row, x.channel): x.value for x in got} == at | {(0, 1, 1): 2.5}
