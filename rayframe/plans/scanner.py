@@ -282,7 +282,7 @@ QUERIES |= {
     "hardening_inverse": lambda spark, d: _r(sino(spark, d).withColumn("value", hardening.inverse(F.col("value"), [0.5, 0.3, 0.1], (0.0, 3.0))), *_CELL),
     "metal_sums": _metal_sums,
     "otsu_splits": _splits,
-    "small_stripes": lambda spark, d: _r(lines.remove_small(sino(spark, d), 3), *_CELL),
+    "small_stripes": lambda spark, d: _r(lines.remove_small(sino(spark, d), 3, CHANNELS), *_CELL),
     "row_ramp": lambda spark, d: _r(filters.filter_rows(sino(spark, d), CHANNELS), *_CELL),
     "helical_weights": lambda spark, d: filters.helical_weights(spark, model("helical", _slices(spark, d))).select("slice", F.round("weight", 5).alias("v")),
     "views_apart": lambda spark, d: _r(project.per_view_back(model("parallel", _slices(spark, d)), sino(spark, d), _pix(spark).where("pix % 5 = 0")), "view", "pix", "slice"),

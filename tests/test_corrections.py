@@ -190,3 +190,11 @@ def test_fill_beside_missing_cells(spark):
     at = {(0, 0, 0): 1.0, (0, 0, 3): 7.0, (0, 1, 1): None, (0, 2, 2): 4.0, (0, 5, 1): None, (0, 3, 1): 9.0, (1, 1, 2): 5.0}
     got = scans.fill_pass(spark.createDataFrame([(*k, v) for k, v in at.items()], "view int, det_row int, channel int, value double")).collect()
     assert {(x.view, x.det_row, x.channel): x.value for x in got} == at | {(0, 1, 1): 2.5}
+
+
+def test_small_stripes_beside_missing_cells(spark):
+    at = {(0, 0): 3.0, (1, 0): 1.0, (2, 0): 2.0, (0, 1): 10.0, (2, 1): 12.0, (1, 2): 5.0}
+    got = lines.remove_small(spark.createDataFrame([(v, 0, c, x) for (v, c), x in at.items()], "view int, det_row int, channel int, value double"), 3, 4).collect()
+    # Ranks of the channels: (1, 2, 3), (10, 12), (5), none; the edge channel counts twice at the left.
+    want = {(1, 0): 1.0, (2, 0): 2.0, (0, 0): 3.0, (0, 1): 5.0, (2, 1): 7.0, (1, 2): 7.5}
+    assert {(x.view, x.channel): x.value for x in got} == want
