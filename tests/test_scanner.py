@@ -131,3 +131,11 @@ def test_filter_gives_the_cells_that_came_in(spark):
     taps = filters.ramp(9)
     assert got.keys() == {(k, c) for _, k, c, _ in rows}
     assert all(abs(v - sum(x[k, j] * taps[8 + c - j] for j in range(9))) < 1e-12 for (k, c), v in got.items())
+
+
+def test_back_projection_sends_no_grid_to_the_driver(spark):
+    m = model("cone", 8000)
+    y = spark.createDataFrame([(0, 4000, 9, 1.0)], "view int, det_row int, channel int, value double")
+    plan = project.back(m, y, spark.range(256).selectExpr("cast(id AS int) AS pix"))._jdf.queryExecution().executedPlan().toString()
+    assert not any("det_row" in line for line in plan.splitlines() if "BroadcastExchange" in line or "BroadcastHashJoin" in line and "slice" in line)
+    assert "SortMergeJoin" in plan
