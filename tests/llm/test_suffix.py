@@ -58,3 +58,14 @@ def test_hot_keys_and_equal_texts(spark, monkeypatch):
     assert sorted(map(tuple, digests(docs).where("doc_id is not null").collect())) == want
     kept = {x.doc_id: x.text for x in without_repeats(docs).where("doc_id >= 100").collect()}
     assert all(len(t) == 0 for t in kept.values())
+
+
+def test_exchanges_go_before_the_last_join(spark, monkeypatch):
+    """Each large exchange is dropped by writing a table after it, but the last."""
+    from rayframe.llm import common
+
+    saved, save = [], common.Tables.save
+    monkeypatch.setattr(common.Tables, "save", lambda self, df, name: (saved.append(name), save(self, df, name))[1])
+    docs = spark.createDataFrame([(d, f"{'abcdefghij' * 7}{d * 999}") for d in range(6)], "doc_id long, text string")
+    assert suffix.repeats(docs).count() == 5
+    assert [n for n in saved if n in ("shared", "lists", "found", "different", "least")] == ["shared", "lists", "found", "different", "least"]
