@@ -6,6 +6,8 @@ directions join the same taps, so one is the exact adjoint of the other. A pixel
 views by an array of their parameters (bounded by the number of views), not by a cross
 join. For a parallel beam rows are slices and only channel taps are needed.
 """
+import math
+
 from pyspark.sql import functions as F
 
 
@@ -42,8 +44,31 @@ def row_taps(model, rows):
     v = model.vertical()
     x = rows.select("*", *(c.alias(k) for k, c in v.items()))
     x = x.withColumn("_o", F.explode(F.sequence(F.lit(-r), F.lit(r)))).withColumn("det_row", F.col("_o") + F.rint("m_p").cast("int"))
-    b = F.greatest(F.lit(0.0), F.least((F.col("w_row") + 1) / 2 - F.abs(F.col("m_p") - F.col("det_row")), F.least(F.lit(1.0), F.col("w_row")))) * F.col("factor")
-    return x.where((F.col("det_row") >= 0) & (F.col("det_row") < n)).withColumn("b", b).where("b > 0").drop("m_p", "w_row", "factor", "_o")
+    return x.where((F.col("det_row") >= 0) & (F.col("det_row") < n)).withColumn("b", _row_tap()).where("b > 0").drop("m_p", "w_row", "factor", "_o")
+
+
+def _row_tap():
+    """b of a detector row, from m_p, w_row and factor."""
+    return F.greatest(F.lit(0.0), F.least((F.col("w_row") + 1) / 2 - F.abs(F.col("m_p") - F.col("det_row")), F.least(F.lit(1.0), F.col("w_row")))) * F.col("factor")
+
+
+def slice_taps(model, rows):
+    """rows (view, pix, det_row, …) as (…, slice, b): the taps of `row_taps` from the other side, the voxels that fall on a detector row."""
+    last, v, h = model.params["recon_shape"][2] - 1, model.vertical(), model.horizontal()
+    views = [(*p, *(0.0,) * (3 - len(p))) for p in model.views]
+    x = rows.select("*", *(F.lit([p[i] for p in views])[F.col("view")].alias(f"p{i}") for i in range(3)))
+    # Never NULL and without a filter of their own, as the planner would carry such a filter down to every cell and tap and compute all this there.
+    x = x.select("*", *(F.coalesce(h[k], F.lit(math.nan)).alias(k) for k in ("mag", "depth")))
+    # m_p is linear in the slice, so its values at slices 0 and 1 say which slices come near; the taps themselves are computed slice by slice.
+    x = x.withColumn("slice", F.lit(0)).withColumn("_m", v["m_p"]).withColumn("_half", (v["w_row"] + 1) / 2 + 1e-6)
+    x = x.withColumn("slice", F.lit(1)).withColumn("_step", v["m_p"] - F.col("_m")).drop("slice")
+    ends = [(F.col("det_row") + side * F.col("_half") - F.col("_m")) / F.col("_step") for side in (-1, 1)]
+    level = F.abs("_step") < 1e-9
+    x = x.withColumn("_lo", F.when(level, 0).otherwise(F.ceil(F.greatest(F.lit(0.0), F.least(F.lit(last + 1.0), F.least(*ends))))).cast("int"))
+    x = x.withColumn("_hi", F.when(level, last).otherwise(F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(float(last)), F.greatest(*ends))))).cast("int"))
+    x = x.withColumn("slice", F.explode(F.when(F.col("_lo") <= F.col("_hi"), F.sequence("_lo", "_hi")).otherwise(F.array().cast("array<int>"))))
+    x = x.select(*rows.columns, "slice", *(c.alias(k) for k, c in v.items()))
+    return x.where(F.abs(F.col("det_row") - F.rint("m_p")) <= model.radii()[0]).withColumn("b", _row_tap()).where("b > 0").drop("m_p", "w_row", "factor")
 
 
 def _slices(model):
@@ -78,13 +103,30 @@ def back(model, sino, pix, power=1, by_view=False):
     if model.vertical() is None:
         x = sino.join(taps.select("view", "pix", "channel", "a"), ["view", "channel"]).withColumn("slice", F.col("det_row"))
         return x.groupBy(*keys).agg(F.sum(a * F.col("value")).alias("value"))
-    x = sino.join(taps.select("view", "pix", "channel", "a"), ["view", "channel"])
-    x = x.groupBy("view", "pix", "det_row").agg(F.sum(a * F.col("value")).alias("value"))
-    rows = row_taps(model, _view_pixels(model, pix).withColumn("slice", _slices(model)))
+    x = _dealt(model, sino).join(taps.select("view", "pix", "channel", "a"), ["view", "channel"])
+    x = x.groupBy("deal", "view", "pix", "det_row").agg(F.sum(a * F.col("value")).alias("value"))
     b = F.col("b") if power == 1 else F.pow("b", F.lit(float(power)))
-    # The planner takes rows, made by explode from a short table, for a short one too, and would send all of them to the driver.
-    x = x.join(rows.select("view", "pix", "slice", "det_row", "b").hint("merge"), ["view", "pix", "det_row"])
-    return x.groupBy(*keys).agg(F.sum(b * F.col("value")).alias("value"))
+    return slice_taps(model, x).groupBy(*keys).agg(F.sum(b * F.col("value")).alias("value"))
+
+
+# Detector rows in a band, and sums over channels that a task holds.
+BAND, HELD = 16, 250_000
+
+
+def _dealt(model, sino):
+    """sino's cells on the detector with `deal`, a band of rows (of some of the views): a task has whole deals, so it sums over channels without another exchange, and what it gives to a voxel is nearly summed."""
+    n_views, n, _ = model.sinogram_shape
+    rows, cols, _ = model.params["recon_shape"]
+    bands, tasks = -(-n // BAND), min(10_000, -(-n_views * n * rows * cols // HELD))
+    apart = min(n_views, -(-4 * tasks // bands))
+    row = F.coalesce(F.col("det_row").cast("int"), F.lit(-1))
+    deal = F.coalesce((F.floor(row / BAND) * apart + F.col("view") % apart).cast("int"), F.lit(-1))
+    first = F.floor(F.col("id") / apart) * BAND
+    known = sino.sparkSession.range(bands * apart).select(F.col("id").cast("int").alias("deal"), first.alias("_first"), F.least(first + BAND, F.lit(n)).alias("_end"))
+    # Both are dealt out alike, so that the merge moves nothing; only columns of cells and of deals are moved, never voxels.
+    x = sino.select("view", row.alias("det_row"), "channel", "value", deal.alias("deal")).repartition(tasks, "deal")
+    x = x.join(known.repartition(tasks, "deal").hint("merge"), "deal")
+    return x.where((F.col("det_row") >= F.col("_first")) & (F.col("det_row") < F.col("_end"))).drop("_first", "_end")
 
 
 def grid(spark, model, pix=None):

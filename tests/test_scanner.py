@@ -139,3 +139,28 @@ def test_back_projection_sends_no_grid_to_the_driver(spark):
     plan = project.back(m, y, spark.range(256).selectExpr("cast(id AS int) AS pix"))._jdf.queryExecution().executedPlan().toString()
     assert not any("det_row" in line for line in plan.splitlines() if "BroadcastExchange" in line or "BroadcastHashJoin" in line and "slice" in line)
     assert "SortMergeJoin" in plan
+
+
+def test_back_projection_moves_cells_but_no_grid(spark):
+    m = model("cone", 8000)
+    y = spark.createDataFrame([(0, 4000, 9, 1.0)], "view int, det_row int, channel int, value double")
+    plan = project.back(m, y, spark.range(256).selectExpr("cast(id AS int) AS pix"))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if " Exchange hashpartitioning" in line]
+    assert len(moved) == 3 and not any("det_row" in line for line in moved)
+
+
+def test_slice_taps_are_the_row_taps(spark):
+    for m in (model("helical", 5), geometry.MultiAxis((3, 5, 9), [(0.0, -0.3), (0.4, math.pi / 2), (1.0, 2.0)], {"recon_shape": (4, 4, 6), "delta_voxel": 1.0})):
+        pix = spark.range(16).selectExpr("cast(id AS int) AS pix")
+        cells = pix.crossJoin(spark.range(m.sinogram_shape[0]).selectExpr("cast(id AS int) AS view")).crossJoin(spark.range(5).selectExpr("cast(id AS int) AS det_row"))
+        keys = ["view", "pix", "slice", "det_row"]
+        got, want = ({tuple(r[:4]): r[4] for r in x.select(*keys, "b").collect()} for x in (project.slice_taps(m, cells), project.row_taps(m, project._view_pixels(m, pix).withColumn("slice", project._slices(m)))))
+        assert got.keys() == want.keys() and len(got) > 100 and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_cells_off_the_detector_take_no_part(spark):
+    m, pix = model("cone", 5), spark.range(256).selectExpr("cast(id AS int) AS pix")
+    y = noise(project.sino_grid(spark, m), ["view", "det_row", "channel"], 4)
+    off = spark.createDataFrame([(0, 5, 9, 1.0), (0, -1, 9, 1.0), (6, 2, 9, 1.0), (0, 2, 20, 1.0), (None, 2, 9, 1.0), (0, None, 9, 1.0), (-1, 20, 9, 1.0)], "view int, det_row int, channel int, value double")
+    a, b = ({(r.pix, r.slice): r.value for r in project.back(m, x, pix).collect()} for x in (y, y.unionByName(off)))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
