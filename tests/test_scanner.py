@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rayframe import geometry
 from rayframe.operators import filters, masks, phantoms, project, recon
-from rayframe.plans.scanner import SCANNERS, model
+from rayframe.plans.scanner import QUERIES, SCANNERS, model
 from rayframe.sources import arrays
 
 
@@ -164,3 +164,11 @@ def test_cells_off_the_detector_take_no_part(spark):
     off = spark.createDataFrame([(0, 5, 9, 1.0), (0, -1, 9, 1.0), (6, 2, 9, 1.0), (0, 2, 20, 1.0), (None, 2, 9, 1.0), (0, None, 9, 1.0), (-1, 20, 9, 1.0)], "view int, det_row int, channel int, value double")
     a, b = ({(r.pix, r.slice): r.value for r in project.back(m, x, pix).collect()} for x in (y, y.unionByName(off)))
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+@pytest.mark.parametrize("name", ["curved_hessian", "fbp_multiaxis", "fdk_curved", "fdk_helical", "fdk_translation", "helical_back", "helical_hessian", "multiaxis_back", "translation_back", "curved_back", "fdk_cone", "multiaxis_hessian"])
+def test_query_with_many_slices_sends_no_taps_of_slices_to_the_driver(spark, tmp_path, name):
+    spark.createDataFrame([(8000 * 1024, 1, 2, 3, 5e4)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "NestedLoop" in line or "Cartesian" in line]
+    assert sent and not any("det_row" in line or "Join [" not in line for line in sent)
